@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import encoding
+from postsieve.llm import canonical, encoding
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(f):
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.found(table(spark, d, "enron_dataset"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.found(table(spark, d, "enron_dataset"))
