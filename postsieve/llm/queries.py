@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding
+from postsieve.llm import canonical, encoding, personal
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.found(table(spark, d, "enron_dataset"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "enron_dataset"), table(spark, d, "arf_result"))
