@@ -88,8 +88,7 @@ _AFTER = re.compile(r"([^\w]*)([\w’'-]*)")
 #: A long number, perhaps with letters: phone and official numbers are looked for only there.
 _LONG = re.compile(r"\d(?:[\d ()./-]{4,}\d|\d{1,2}[A-Z][A-Z0-9]{3,})")
 #: What may follow the number of a street address, and how the word before one may end or its street may begin.
-_AFTER_EN_TYPE = re.compile(rf"\s{_TYPES_EN}\b")
-_NUMBER = re.compile(r"[a-zA-Z]?\s(?:[NSEW]\.?\s)?[A-ZÀ-Þ]|(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|chemin|boulevard|place|impasse|allée|quai|route|cours)\s")
+_AFTER_NUMBER = re.compile(r"[a-zA-Z]?\s(?:[NSEW]\.?\s)?[A-ZÀ-Þ]|(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|chemin|boulevard|place|impasse|allée|quai|route|cours)\s")
 _STREET_ENDS = ("straße", "strasse", "str.", "weg", "platz", "gasse", "allee", "ufer", "ring", "damm", "straat", "laan", "gracht", "plein", "kade", "singel", "dijk", "Box", "Postfach", "Apartado", "Postbus")
 _STREET_STARTS = re.compile(r"(?:\b(?:Am|An der|Zum|Zur|Im|C/|[Cc]alle|[Aa]venida|[Aa]vda\.?|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda|[Rr]ua|[Tt]ravessa|[Pp]raça|[Aa]lameda|[Ll]argo|[Vv]iale?|[Cc]orso|[Pp]iazza|[Vv]icolo)|ул\.|улица|пр\.|проспект|пер\.|наб\.)\s")
 _EN_TYPE = re.compile(rf"\s{_TYPES_EN}\b")
