@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, personal
+from postsieve.llm import canonical, encoding, newtext, personal
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return personal.found(table(spark, d, "enron_dataset"), table(spark, d, "arf_result"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return newtext.found(table(spark, d, "enron_dataset"))
