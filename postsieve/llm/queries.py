@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, newtext, personal
+from postsieve.llm import canonical, encoding, neardup, newtext, personal
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return newtext.found(table(spark, d, "enron_dataset"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "enron_dataset"))
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "enron_dataset"))
