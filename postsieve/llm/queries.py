@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, neardup, newtext, personal
+from postsieve.llm import canonical, encoding, language, neardup, newtext, personal
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(table(spark, d, "enron_dataset"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(table(spark, d, "enron_dataset"))
