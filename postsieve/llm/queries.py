@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, language, neardup, newtext, personal
+from postsieve.llm import canonical, encoding, language, neardup, newtext, personal, truncated
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return language.found(table(spark, d, "enron_dataset"))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.found(table(spark, d, "documents"))
+
+
+@query
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.shares(table(spark, d, "documents"))
