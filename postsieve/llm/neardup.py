@@ -1,11 +1,13 @@
 """Near-duplicate records by bottom-k sketches of one hash function, at a threshold of Jaccard similarity.
 
 1. Each record becomes the set of hashed runs of w words. Equal sets form a class; only one record of each goes on.
-2. Values are counted in a table of fixed size. One order over all values, by count level and then by hash, puts values that
-   boilerplate repeats last; a record's sketch is the k first of its values in that order.
-3. Inverted lists of the retained values give overlaps of pairs; a list of a common value is split into blocks and its
-   pairs are formed block by block, so that no task holds a list whole.
-4. From the overlap, the union sketch of a pair estimates its similarity; pairs that can't reach the threshold go.
+2. Values are counted in a table of bounded size. One order over all values, by count level and then by hash, puts values that
+   boilerplate repeats last. Two sets of the threshold's similarity must share a value among the first (1 - threshold) of
+   their values in that order, and commonly share many; a record's sketch is the k least hashes of that part.
+3. Inverted lists of the retained values give overlaps of pairs. A list's key is a run of neighbouring values of the
+   sketch (single values where sketches are small), as one value by itself is shared by chance too often; a list of common
+   values is split into blocks and its pairs are formed block by block, so that no task holds a list whole.
+4. The number of common keys estimates the similarity in the pair's union sketch; pairs that can't reach the threshold go.
 5. Exact Jaccard similarity of the full sets verifies the others.
 
 Defined results: records whose text is null or blank, or has fewer than w words, have an empty set and match nothing. Repeated rows
@@ -17,8 +19,9 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,17 @@ _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 @dataclass(frozen=True)
 class Settings:
-    """words: length of a run. threshold: least similarity. k: values of a sketch. overlap: least number of common values, of
-    sketches of k (fewer for smaller sets, in proportion). bits: log2 of the size of the count table. block: records in a
-    block of a split list."""
+    """words: length of a run. threshold: least similarity. k: values of a sketch. chain: neighbouring values in a key. overlap:
+    least number of common keys. single: sketches up to this size are listed by single values. bits: log2 of the greatest size of the count table; a smaller one
+    serves while values are few. block: records in a block of a split list."""
 
     words: int = 5
     threshold: float = 0.8
-    k: int = 24
-    overlap: int = 3
-    bits: int = 18
+    k: int = 64
+    chain: int = 3
+    overlap: int = 1
+    single: int = 20
+    bits: int = 23
     block: int = 512
 
 
@@ -60,7 +65,7 @@ def hashed_words(text: str, known: dict[str, int]) -> np.ndarray:
 
 
 def runs(words: np.ndarray, w: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of w words."""
+    """Sorted distinct 40-bit hashes of all runs of w words."""
     if len(words) < w:
         return np.empty(0, dtype=np.uint64)
     n = len(words) - w + 1
@@ -71,7 +76,17 @@ def runs(words: np.ndarray, w: int) -> np.ndarray:
             h ^= h >> np.uint64(29)
         h *= _M
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return np.unique(h >> np.uint64(24))
+
+
+def pack(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 _SETS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("print", pa.binary()), ("values", pa.binary())])
@@ -85,7 +100,7 @@ def _sets(settings: Settings):
             for i, at, text in zip(*(c.to_pylist() for c in b.columns)):
                 s = runs(hashed_words(text, known), settings.words) if text else ()
                 if len(s):
-                    raw = s.tobytes()
+                    raw = pack(s)
                     rows.append((i, at, len(s), xxhash.xxh128_digest(raw), raw))
             cols = list(zip(*rows)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
@@ -94,37 +109,44 @@ def _sets(settings: Settings):
 
 
 def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
-    return (values >> np.uint64(64 - bits)).astype(np.int64)
+    return (values >> np.uint64(40 - bits)).astype(np.int64)
+
+
+_CHUNK = 1 << 14
 
 
 def _count(bits: int):
-    """Counts of the buckets in a partition, as rows (chunk, counts) of 1024 buckets each."""
+    """Counts of the buckets in a partition, as compressed rows (chunk, counts)."""
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.uint32)
         for b in batches:
-            for raw in b.column("values").to_pylist():
-                np.add.at(total, _bucket(np.frombuffer(raw, dtype=np.uint64), bits), 1)
-        parts = total.reshape(-1, min(1024, 1 << bits))
+            raw = b"".join(b.column("values").to_pylist())
+            if raw:
+                at, n = np.unique(_bucket(unpack(raw), bits), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        parts = total.reshape(-1, min(_CHUNK, 1 << bits))
         keep = [i for i in range(len(parts)) if parts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([parts[i].tobytes() for i in keep], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())], schema=schema)
 
     return run
 
 
 def _add_counts(t: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, dtype=np.int64) for x in t.column("counts").to_pylist())
-    return pa.table({"chunk": t.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    total = 0
+    for x in t.column("counts").to_pylist():
+        total = total + np.frombuffer(zlib.decompress(x), dtype=np.uint32)
+    return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def count_table(sets: DataFrame, bits: int) -> np.ndarray:
     """How many records hold a value of each bucket; 2**bits numbers, whatever the size of the data."""
     parts = sets.select("values").mapInArrow(_count(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
-    total = np.zeros(1 << bits, dtype=np.int64)
-    width = min(1024, 1 << bits)
+    width = min(_CHUNK, 1 << bits)
+    total = np.zeros(1 << bits, dtype=np.uint32)
     for r in parts:
-        total[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], dtype=np.int64)
+        total[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
     return total
 
 
@@ -134,31 +156,54 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / (mean + 3 * np.sqrt(mean))))).astype(np.int8)
 
 
-_POSTINGS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("side", pa.int8()), ("id", pa.int64()), ("n", pa.int32())])
+_POSTINGS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("side", pa.int8()), ("id", pa.int64())])
+#: Sides of a block: the two parts of a split list, or one list or part whose own pairs are wanted.
+_LEFT, _RIGHT, _WHOLE = 0, 1, 2
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """The one hash function that orders values within a level."""
+    with np.errstate(over="ignore"):
+        return (values * _A) ^ ((values * _C) >> np.uint64(17))
+
+
+def keys_of(values: np.ndarray, parts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a sketch and into how many parts the list of each is split. Sketches of neighbouring sizes have a kind of key in common."""
+    m, many, out = mixed(values), parts[_bucket(values, settings.bits)].astype(np.int64), []
+    with np.errstate(over="ignore"):
+        if len(m) <= settings.single / settings.threshold + 1:
+            out.append((m, many))
+        if len(m) > settings.single:
+            n = len(m) - settings.chain + 1
+            key, least = np.zeros(n, dtype=np.uint64), many[:n]
+            for c in range(settings.chain):
+                key = (key ^ m[c : c + n]) * _B + _C
+                key ^= key >> np.uint64(31)
+                least = np.minimum(least, many[c : c + n])
+            out.append((key, least))
+    return np.concatenate([x for x, _ in out]).view(np.int64), np.concatenate([y for _, y in out])
 
 
 def _postings(held, settings: Settings):
-    """Retained values of every record. A value whose bucket is fuller than a block has its list split into parts; a record in part p
-    goes to the block of each pair of parts that holds p, and block p:p forms the pairs within p."""
+    """Keys of every record. The list of a key whose values are more common than a block holds is split into parts; a record in part p goes
+    to the block of each pair of parts that holds p, and block p:p forms the pairs within p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = held.value[1]
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, n, raw in zip(*(b.column(c).to_pylist() for c in ("id", "n", "values"))):
-                v = np.frombuffer(raw, dtype=np.uint64)
-                many = parts[_bucket(v, settings.bits)]
-                v = v.view(np.int64)
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for i, raw in zip(*(b.column(c).to_pylist() for c in ("id", "values"))):
+                v, many = keys_of(unpack(raw), parts, settings)
                 wide = many > 1
                 if wide.any():
                     for x, s in zip(v[wide], many[wide]):
                         p = xxhash.xxh32_intdigest(int(i).to_bytes(8, "little", signed=True)) % int(s)
                         q = np.arange(s)
-                        lo, hi = np.minimum(p, q), np.maximum(p, q)
-                        for col, val in zip(out, (np.full(s, x), lo * s + hi, (q < p).astype(np.int8), np.full(s, i), np.full(s, n))):
+                        side = np.where(q == p, _WHOLE, np.where(q < p, _RIGHT, _LEFT))
+                        for col, val in zip(out, (np.full(s, x), np.minimum(p, q) * s + np.maximum(p, q), side, np.full(s, i))):
                             col.append(val)
                     v = v[~wide]
-                for col, val in zip(out, (v, np.zeros(len(v), dtype=np.int32), np.zeros(len(v), dtype=np.int8), np.full(len(v), i), np.full(len(v), n))):
+                for col, val in zip(out, (v, np.zeros(len(v)), np.full(len(v), _WHOLE), np.full(len(v), i))):
                     col.append(val)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(out, _POSTINGS)], schema=_POSTINGS)
@@ -166,70 +211,52 @@ def _postings(held, settings: Settings):
     return run
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32())])
-
-
-def _lists(held, settings: Settings):
-    """Pairs of records that share a retained value, from postings sorted by (value, block)."""
-    t = settings.threshold
-
-    def pairs(side, i, n, whole: bool) -> Iterator[tuple]:
-        # whole: all pairs of the run; else pairs across its two sides
-        for k in range(len(i) if whole else int((side == 0).sum())):
-            j = slice(k + 1, None) if whole else slice(int((side == 0).sum()), None)
-            ok = (np.minimum(n[k], n[j]) >= t * np.maximum(n[k], n[j])) & (i[j] != i[k])
-            if ok.any():
-                bi, bn = i[j][ok], n[j][ok]
-                less = i[k] < bi
-                yield np.where(less, i[k], bi), np.where(less, bi, i[k]), np.where(less, n[k], bn), np.where(less, bn, n[k])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = held.value[1]
-        rest: list[np.ndarray] | None = None
-
-        def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            value, block, side, i, n = cols
-            starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
-            ends = np.r_[starts[1:], len(value)]
-            two = starts[ends - starts == 2]
-            got = []
-            if len(two):  # most lists: done at once
-                s = parts[_bucket(value[two].view(np.uint64), settings.bits)]
-                inside = (s <= 1) | (block[two] // np.maximum(s, 1) == block[two] % np.maximum(s, 1)) | (side[two] != side[two + 1])
-                x, y = two[inside], two[inside] + 1
-                ok = (np.minimum(n[x], n[y]) >= t * np.maximum(n[x], n[y])) & (i[x] != i[y])
-                x, y = x[ok], y[ok]
-                less = i[x] < i[y]
-                got.append((np.where(less, i[x], i[y]), np.where(less, i[y], i[x]), np.where(less, n[x], n[y]), np.where(less, n[y], n[x])))
-            for a, b in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                s = int(parts[_bucket(value[a : a + 1].view(np.uint64), settings.bits)[0]])
-                order = np.argsort(side[a:b], kind="stable")
-                whole = s <= 1 or block[a] // s == block[a] % s
-                got.extend(pairs(side[a:b][order], i[a:b][order], n[a:b][order], whole))
-                if sum(len(g[0]) for g in got[-64:]) > 50_000:
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of records that share a key, from postings sorted by (value, block)."""
+    rest: list[np.ndarray] | None = None
+
+    def batch(got: list[tuple]) -> pa.RecordBatch:
+        a, b = (np.concatenate([g[c] for g in got]) for c in (0, 1))
+        ok = a != b
+        a, b = a[ok], b[ok]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
+
+    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        value, block, side, i = cols
+        starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
+        size = np.diff(np.r_[starts, len(value)])
+        two = starts[size == 2]
+        two = two[(side[two] == _WHOLE) | (side[two] != side[two + 1])]
+        got, held = [(i[two], i[two + 1])], len(two)  # most lists: done at once
+        for a, n in zip(starts[size > 2], size[size > 2]):
+            ids, sides = i[a : a + n], side[a : a + n]
+            right = ids[sides == _RIGHT]
+            for k, x in enumerate(ids[sides != _RIGHT]):
+                others = ids[k + 1 :] if sides[0] == _WHOLE else right
+                got.append((np.full(len(others), x), others))
+                held += len(others)
+                if held > 50_000:
                     yield batch(got)
-                    got = []
-            if got:
-                yield batch(got)
-
-        def batch(got: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[c] for g in got]), f.type) for c, f in enumerate(_PAIRS)], schema=_PAIRS)
-
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS.names]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield from out([c[:cut] for c in cols])
-        if rest is not None and len(rest[0]):
-            yield from out(rest)
-
-    return run
+                    got, held = [], 0
+        if got:
+            yield batch(got)
+
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS.names]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        rest = [c[cut:] for c in cols]
+        if cut:
+            yield from out([c[:cut] for c in cols])
+    if rest is not None and len(rest[0]):
+        yield from out(rest)
 
 
 def _verify(settings: Settings):
@@ -239,7 +266,7 @@ def _verify(settings: Settings):
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                x, y = unpack(x), unpack(y)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 s = common / (len(x) + len(y) - common)
                 if s >= settings.threshold:
@@ -267,19 +294,18 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     one = sets.groupBy("id").agg(F.min(F.struct("at", "print", "n")).alias("m")).select("id", F.col("m.print").alias("print"))
     classes = one.groupBy("print").agg(F.min("id").alias("rep"))
     members = one.join(classes, "print").select("id", "rep")
+    values = sets.agg(F.sum("n")).first()[0] or 0
+    settings = replace(settings, bits=int(min(settings.bits, max(10, np.ceil(np.log2(max(1, values) / 12))))))
     counts = count_table(sets, settings.bits)
     level = levels(counts)
-    parts = np.maximum(1, -(-np.where(level > 1, counts, 0) // settings.block)).astype(np.int32)
+    parts = np.minimum(32767, np.maximum(1, -(-np.where(level > 1, counts.astype(np.int64), 0) // settings.block))).astype(np.int16)
     held = spark.sparkContext.broadcast((level, parts))  # two tables of 2**bits numbers
     sketch = sets.select("id", "print", "n", "values").mapInArrow(_sketch(held, settings), "id long, print binary, n int, values binary")
-    # of an id delivered again only one sketch stays
-    reps = sketch.join(classes.select(F.col("print").alias("p"), "rep"), (F.col("print") == F.col("p")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["id"]).select("id", "n", "values")
-    posted = reps.mapInArrow(_postings(held, settings), "value long, block int, side tinyint, id long, n int")
-    listed = posted.repartition("value", "block").sortWithinPartitions("value", "block")
-    pairs = listed.mapInArrow(_lists(held, settings), "a long, b long, na int, nb int").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    # union sketch: of its k least values, those in both are the common retained ones; sets below k have whole sketches
-    size = F.least(F.lit(settings.k), F.col("na"), F.col("nb"))
-    likely = cut_lineage(pairs.where(F.col("common") >= F.greatest(F.lit(1), F.floor(size * settings.overlap / settings.k))).select("a", "b"))
+    # of a class, and of an id delivered again, only one sketch stays
+    reps = sketch.groupBy("print").agg(F.min(F.struct("id", "values")).alias("m")).select("m.id", "m.values")
+    posted = reps.mapInArrow(_postings(held, settings), "value long, block int, side tinyint, id long")
+    pairs = posted.repartition("value", "block").sortWithinPartitions("value", "block").mapInArrow(_lists, "a long, b long")
+    likely = cut_lineage(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= settings.overlap).select("a", "b"))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     full = sets.select("id", "values").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     both = likely.join(full.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(full.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
@@ -296,10 +322,10 @@ def _sketch(held, settings: Settings):
         for b in batches:
             small = []
             for raw in b.column("values").to_pylist():
-                v = np.frombuffer(raw, dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    mixed = (v * _A) ^ ((v * _C) >> np.uint64(17))
-                small.append(v[np.lexsort((mixed, level[_bucket(v, settings.bits)]))[: settings.k]].tobytes())
+                v = unpack(raw)
+                m = mixed(v)
+                first = np.lexsort((m, level[_bucket(v, settings.bits)]))[: len(v) - int(np.ceil(settings.threshold * len(v) - 1e-9)) + 1]
+                small.append(pack(v[first[np.argsort(m[first])[: settings.k]]]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("print"), b.column("n"), pa.array(small, pa.binary())], schema=schema)
 
     return run
