@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, language, neardup, newtext, personal, truncated
+from postsieve.llm import canonical, encoding, language, leakage, neardup, newtext, personal, truncated
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncated.shares(table(spark, d, "documents"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
