@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postsieve.llm import canonical, encoding, language, leakage, neardup, newtext, personal, truncated
+from postsieve.llm import canonical, encoding, language, leakage, neardup, newtext, packing, personal, truncated
 from postsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+@query
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
