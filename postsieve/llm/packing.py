@@ -32,6 +32,8 @@ SHARD = 20_000
 #: Items above capacity / LARGE are large; they are rounded in at most GROUPS groups.
 LARGE, GROUPS = 12, 40
 ROUNDS = 300
+#: Most kinds of containers that are packed for at once.
+KINDS = 1000
 #: A container that its actual documents fill less is dissolved; they go where they fit best.
 KEEP = 0.997
 
@@ -224,10 +226,13 @@ def packed(docs: DataFrame, capacities: DataFrame, path: str | None = None) -> D
 
     Piece 0 is the whole document unless it was split. Containers of a kind are numbered from 0 without gaps.
     """
-    kinds = capacities.where("capacity_tokens > 0 and container is not null").groupBy("container").agg(F.max("capacity_tokens").alias("capacity"))
+    kinds = capacities.where("capacity_tokens > 0 and container is not null").groupBy("container").agg(F.max("capacity_tokens").alias("capacity")).limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of containers")
+    each = F.array(*(F.struct(F.lit(r["container"]).alias("container"), F.lit(int(r["capacity"])).alias("capacity")) for r in kinds)) if kinds else F.array().cast("array<struct<container:string,capacity:int>>")
     shards = max(1, -(-docs.count() // SHARD))
     sized = token_counts(docs, path).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0")
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).crossJoin(F.broadcast(kinds))  # a few kinds
+    dealt = sized.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(each).alias("kind")).select("doc_id", "tokens", "shard", "kind.container", "kind.capacity")
     done = cut_lineage(dealt.groupBy("container", "shard").applyInArrow(_pack_shard, _PACKED))
     sizes = done.groupBy("container", "shard").agg((F.max("local") + 1).alias("used"))
     before = F.sum("used").over(Window.partitionBy("container").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

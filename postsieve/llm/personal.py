@@ -374,10 +374,16 @@ _FAMILY = re.compile(r"^([^\W\d_]+(?:-[^\W\d_]+)?)-[^\W\d_]$")
 _DISPLAY = (re.compile(r'^"([^\W\d_][\w-]+), ([^\W\d_][\w-]+)" <'), re.compile(r"^([A-ZÀ-Þ][\w-]+) ([A-ZÀ-Þ][\w-]+)(?: <|$)"), re.compile(r"\(([A-ZÀ-Þ][\w-]+) ([A-ZÀ-Þ][\w-]+)\)$"))
 
 
+def _sample(df: DataFrame, key: str, rows: int) -> list:
+    """At most `rows` rows by the hash of their key; thinned by hash first, so that no task sends more than its share."""
+    share = max(1, df.count() // (2 * rows))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).orderBy(F.xxhash64(key, F.lit(1)), key).limit(rows).collect()
+
+
 def fit(mail: DataFrame, reports: DataFrame, rows: int = SAMPLE_ROWS) -> NameModel:
     """The name model from at most `rows` rows of each table: display names of senders and owners of mailboxes are the names."""
-    some = mail.where("message is not null and id is not null").select("id", "message", "mailbox").orderBy(F.xxhash64("id"), "id").limit(rows).collect()
-    senders = reports.where("originalmailfrom is not null").select("report_id", "originalmailfrom").orderBy(F.xxhash64("report_id"), "report_id").limit(rows).collect()
+    some = _sample(mail.where("message is not null and id is not null").select("id", "message", "mailbox"), "id", rows)
+    senders = _sample(reports.where("originalmailfrom is not null and report_id is not null").select("report_id", "originalmailfrom"), "report_id", rows)
     names: set[str] = set()
     for r in some:
         if m := _FAMILY.match(r["mailbox"] or ""):
