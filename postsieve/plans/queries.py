@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postsieve.operators import timestamps
+from postsieve.functions import idn, text, urls
+from postsieve.lookups import (
+    ARCHIVE, ATTRIBUTE_SUFFIXES, AUTH_WEIGHTS, BODY_FAMILIES, BRANDS, CONFUSABLE, CONTEXT_PATTERNS, DATES, EXECUTABLE, GTUBE, KEYWORDS, LANGUAGE_CODES, LEGACY_OFFICE,
+    MACRO_OFFICE, MACRO_SCRIPT, MACRO_TEXT, RULE_SUFFIXES, SENDER_PATTERNS, SHORTENERS, SPOOFED_HOSTS, SPOOFED_NAMES, STOP_WORDS, SUBJECT_FAMILIES, SUSPICIOUS_TLDS,
+)
+from postsieve.operators import arf, auth, bayes, datasets, detect, reputation, rules, timestamps
+from postsieve.plans.scan import scan
 from postsieve.session import table
+from postsieve.streaming import scan as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,3 +36,349 @@ def query(sql: str | None = None, name: str | None = None):
 @query()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.found(table(spark, d, "enron_dataset"), table(spark, d, "arf_result"), table(spark, d, "zone_hint"))
+
+
+# --- the engine's own operators over the mail tables -------------------------------------------------------------------
+
+
+def mail(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "enron_dataset").select(F.col("id").alias("message_id"), "subject", F.col("message").alias("text"), "label", "lang", "loaded_at")
+
+
+def q(text: str) -> str:
+    """A string literal of the checking SQL."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def any_of(column: str, patterns: list[str]) -> str:
+    return f"regexp_matches({column}, {q('|'.join(f'(?:{p})' for p in patterns))})"
+
+
+MAIL = "SELECT id AS message_id, subject, message AS text, label, lang FROM enron_dataset"
+LOW = "lower(coalesce(text, ''))"
+SUBJ = "lower(coalesce(subject, ''))"
+TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: length(t) > 2 AND length(t) < 20)"
+GENERAL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-zà-öø-ýа-я0-9-]+'), lambda t: length(t) >= 1 AND length(t) <= 50)"
+
+
+@query(f"SELECT message_id, array_to_string({TOKENS}, ' ') AS tokens, CAST(len({TOKENS}) AS INTEGER) AS n FROM ({MAIL})")
+def tok_simple(spark, d):
+    t = text.simple_tokens(F.coalesce("text", F.lit("")))
+    return mail(spark, d).select("message_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
+
+
+@query(f"SELECT message_id, CAST(len({GENERAL}) AS INTEGER) AS n, CAST(len(list_distinct({GENERAL})) AS INTEGER) AS distinct_n FROM ({MAIL}) WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$')")
+def tok_generic(spark, d):
+    t = text.tokens(F.coalesce("text", F.lit("")))
+    return mail(spark, d).where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*\z")).select("message_id", F.size(t).alias("n"), F.size(F.array_distinct(t)).alias("distinct_n"))
+
+
+@query(f"SELECT substring(sha256(t), 1, 16) AS token_hash, count(*) AS n FROM (SELECT unnest({TOKENS}) AS t FROM ({MAIL})) GROUP BY 1")
+def tok_hash16(spark, d):
+    t = text.hash_tokens(text.simple_tokens(F.coalesce("text", F.lit(""))))
+    return mail(spark, d).select(F.explode(t).alias("token_hash")).groupBy("token_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT message_id, CAST(len(list_filter({TOKENS}, lambda t: t NOT IN ({', '.join(map(q, STOP_WORDS))}))) AS INTEGER) AS kept FROM ({MAIL})")
+def stop_filter(spark, d):
+    return mail(spark, d).select("message_id", F.size(text.drop_stop_words(text.simple_tokens(F.coalesce("text", F.lit(""))))).alias("kept"))
+
+
+def _tagged() -> str:
+    e = "coalesce(text, '')"
+    for tag, p in text.TAGS:
+        e = f"regexp_replace({e}, {q(p)}, ' {tag} ', 'g')"
+    return e
+
+
+@query("SELECT message_id, " + ", ".join(f"CAST((length(t) - length(replace(t, '{tag}', ''))) / {len(tag)} AS INTEGER) AS {tag.lower()}" for tag, _ in text.TAGS) + f" FROM (SELECT message_id, {_tagged()} AS t FROM ({MAIL}) WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))")
+def pii_tags(spark, d):
+    m = mail(spark, d).where(F.coalesce("text", F.lit("")).rlike(r"^[\x00-\x7F]*\z")).select("message_id", text.tag_patterns(F.coalesce("text", F.lit(""))).alias("t"))
+    return m.select("message_id", *(((F.length("t") - F.length(F.replace("t", F.lit(tag), F.lit("")))) / len(tag)).cast("int").alias(tag.lower()) for tag, _ in text.TAGS))
+
+
+@query("SELECT message_id, translate(subject, " + q("".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　") + ", " + q("".join(chr(c) for c in range(0x21, 0x7F)) + " ") + f") AS half FROM ({MAIL})")
+def halfwidth(spark, d):
+    return mail(spark, d).select("message_id", text.half_width(F.col("subject")).alias("half"))
+
+
+def _contracted() -> str:
+    e = "replace(lower(text), '’', '''')"
+    for a, b in text.CONTRACTIONS:
+        e = f"replace({e}, {q(a)}, {q(b)})"
+    return e
+
+
+@query(f"SELECT message_id, coalesce(length({_contracted()}), 0) AS n, coalesce(length(regexp_replace(text, '<[^>]*>', '', 'g')), 0) AS stripped FROM ({MAIL})")
+def contractions_and_tags(spark, d):
+    return mail(spark, d).select("message_id", *(F.coalesce(F.length(c).cast("long"), F.lit(0)).alias(n) for n, c in (("n", text.expand_contractions(F.col("text"))), ("stripped", text.strip_tags(F.col("text"))))))
+
+
+@query(
+    "SELECT lang, CASE WHEN split_part(lower(lang), '-', 1) IN ('nb', 'nn') THEN 'no' ELSE split_part(lower(lang), '-', 1) END AS locale, "
+    "CASE WHEN length(lang) = 2 THEN lower(lang) " + " ".join(f"WHEN lower(lang) = {q(k)} THEN {q(v)}" for k, v in LANGUAGE_CODES.items()) + f" ELSE 'en' END AS code, count(*) AS n FROM ({MAIL}) GROUP BY 1, 2, 3"
+)
+def locale_codes(spark, d):
+    m = mail(spark, d).select("lang", text.locale(F.col("lang")).alias("locale"), text.language_code(F.col("lang")).alias("code"))
+    return m.groupBy("lang", "locale", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+URLS = "list_transform(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s<>\"'']+'), lambda u: regexp_replace(u, '[).,;!?]+$', ''))"
+
+
+@query(f"SELECT DISTINCT message_id, unnest({URLS}) AS url FROM ({MAIL})")
+def url_extract(spark, d):
+    return mail(spark, d).select("message_id", F.explode(urls.raw_urls(F.col("text"))).alias("url")).distinct()
+
+
+@query(f"SELECT host, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM (SELECT DISTINCT message_id, unnest({URLS}) AS url FROM ({MAIL}))) GROUP BY host")
+def url_hosts(spark, d):
+    u = mail(spark, d).select("message_id", F.explode(urls.raw_urls(F.col("text"))).alias("url")).distinct()
+    return u.select(urls.host_of(urls.normalise_url(F.col("url"))).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _root(host: str, suffixes: list[str]) -> str:
+    last = lambda n: f"array_to_string(list_slice(string_split(lower({host}), '.'), -{n}, -1), '.')"
+    return f"CASE WHEN {last(2)} IN ({', '.join(map(q, suffixes))}) AND lower({host}) <> {last(2)} THEN {last(3)} ELSE {last(2)} END"
+
+
+@query(f"SELECT client_hostname, {_root('client_hostname', RULE_SUFFIXES)} AS by_rules, {_root('client_hostname', ATTRIBUTE_SUFFIXES)} AS by_attributes, count(*) AS n FROM session_info WHERE client_hostname IS NOT NULL GROUP BY 1, 2, 3")
+def root_domains(spark, d):
+    s = table(spark, d, "session_info").where("client_hostname is not null")
+    h = F.col("client_hostname")
+    return s.select(h, urls.root_domain_rules(h).alias("by_rules"), urls.root_domain_attributes(h).alias("by_attributes")).groupBy("client_hostname", "by_rules", "by_attributes").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT report_id, CASE WHEN regexp_matches(originalmailfrom, '(?i)^<?srs0=[^=]+=[^=]+=([^=]+)=([^@]+)@.*$') THEN regexp_extract(originalmailfrom, '(?i)^<?srs0=[^=]+=[^=]+=([^=]+)=([^@]+)@.*$', 2) || '@' || regexp_extract(originalmailfrom, '(?i)^<?srs0=[^=]+=[^=]+=([^=]+)=([^@]+)@.*$', 1) "
+    "ELSE originalmailfrom END AS address, lower(CASE WHEN contains(originalmailfrom, '@') THEN substring(originalmailfrom, position('@' IN originalmailfrom) + 1) ELSE '' END) AS host FROM arf_result WHERE originalmailfrom IS NOT NULL"
+)
+def srs_decode(spark, d):
+    a = F.col("originalmailfrom")
+    return table(spark, d, "arf_result").where("originalmailfrom is not null").select("report_id", urls.undo_srs(a).alias("address"), urls.host_of_address(a).alias("host"))
+
+
+PLAIN = "regexp_replace(translate(lower(host), " + q("".join(CONFUSABLE)) + ", " + q("".join(CONFUSABLE.values())) + "), '\\.(?:com|org|net|edu|gov)$', '')"
+SIM = "greatest(" + ", ".join(f"CAST(greatest(length(p), {len(b)}) - levenshtein(p, {q(b)}) AS DOUBLE) / greatest(length(p), {len(b)})" for b in BRANDS) + ")"
+
+
+@query(f"SELECT host, round({SIM}, 9) AS brand_similarity, CAST(CASE WHEN {SIM} > 0.8 THEN 1 ELSE 0 END AS INTEGER) AS over FROM (SELECT host, {PLAIN} AS p FROM (SELECT DISTINCT root_client_hostname AS host FROM session_info WHERE root_client_hostname IS NOT NULL))")
+def idn_brand(spark, d):
+    h = table(spark, d, "session_info").where("root_client_hostname is not null").select(F.col("root_client_hostname").alias("host")).distinct()
+    s = idn.brand_similarity(F.col("host"))
+    return h.select("host", F.round(s, 9).alias("brand_similarity"), (s > 0.8).cast("int").alias("over"))
+
+
+CONTEXT = "CAST(0 AS DOUBLE) " + " ".join(f"+ CASE WHEN regexp_matches({LOW}, {q(p)}) THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for p in CONTEXT_PATTERNS)
+
+
+@query(f"SELECT message_id, round({CONTEXT}, 6) AS context, ({CONTEXT}) > CAST(0.3 AS DOUBLE) AS flagged FROM ({MAIL})")
+def idn_context(spark, d):
+    c = idn.context_score(F.col("text"), F.lit(False))
+    return mail(spark, d).select("message_id", F.round(c, 6).alias("context"), (c > 0.3).alias("flagged"))
+
+
+@query()
+def phishing_findings(spark, d):
+    return detect.host_risk(mail(spark, d)).select("message_id", "host", F.round("risk", 6).alias("risk"), "type")
+
+
+@query("SELECT message_id, " + ", ".join(f"{any_of(LOW, ps)} AS {kind}" for kind, ps in MACRO_TEXT.items()) + f" FROM ({MAIL})")
+def macro_text(spark, d):
+    kinds = detect.macro_text(F.col("text"))
+    return mail(spark, d).select("message_id", *(F.array_contains(kinds, k).alias(k) for k in MACRO_TEXT))
+
+
+@query("SELECT message_id, " + ", ".join(f"CAST(len(regexp_extract_all({LOW}, {q(p)})) AS INTEGER) AS d{i}" for i, p in enumerate(DATES)) + f" FROM ({MAIL})")
+def date_counts(spark, d):
+    return mail(spark, d).select("message_id", *(c.cast("int").alias(f"d{i}") for i, c in enumerate(detect.date_counts(F.col("text")))))
+
+
+@query(f"SELECT message_id, contains(coalesce(text, ''), {q(GTUBE)}) AS gtube FROM ({MAIL})")
+def gtube(spark, d):
+    return mail(spark, d).select("message_id", detect.gtube(F.coalesce("text", F.lit(""))).alias("gtube"))
+
+
+@query()
+def file_paths(spark, d):
+    return mail(spark, d).select("message_id", F.size(detect.file_paths(F.col("text"))).alias("paths"))
+
+
+SUFFIXES = "exe docm xls vbs pdf zip iso jar png js docx xlsm"
+EXT = f"list_extract(string_split('{SUFFIXES}', ' '), CAST(id % 12 AS INTEGER) + 1)"
+
+
+@query(
+    f"SELECT id AS message_id, {EXT} AS ext, {EXT} IN ({', '.join(map(q, EXECUTABLE))}) AS executable, {EXT} IN ({', '.join(map(q, ARCHIVE))}) AS archive, "
+    f"CASE WHEN {EXT} IN ({', '.join(map(q, MACRO_SCRIPT))}) THEN 'script' WHEN {EXT} IN ({', '.join(map(q, MACRO_OFFICE))}) THEN 'office_document' WHEN {EXT} IN ({', '.join(map(q, LEGACY_OFFICE))}) THEN 'legacy_office' END AS macro FROM enron_dataset"
+)
+def attachment_names(spark, d):
+    name = F.concat(F.lit("file"), F.col("message_id").cast("string"), F.lit("."), F.element_at(F.split(F.lit(SUFFIXES), " "), (F.col("message_id") % 12).cast("int") + 1))
+    m = mail(spark, d).select("message_id", name.alias("name"))
+    n = F.col("name")
+    return m.select("message_id", detect.extension(n).alias("ext"), detect.executable_by_name(n).alias("executable"), detect.archive_by_name(n).alias("archive"), detect.macro_by_name(n).alias("macro"))
+
+
+def _sum(cases: list[tuple[str, int]]) -> str:
+    return "CAST(" + " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for c, p in cases) + " AS INTEGER)"
+
+
+LETTERS = "len(regexp_extract_all(coalesce(subject, ''), '[A-Za-z]'))"
+SUBJECT_CASES = [
+    *((f"regexp_matches({SUBJ}, {q(p)})", 1) for p in SUBJECT_FAMILIES),
+    (f"{LETTERS} > 10 AND len(regexp_extract_all(coalesce(subject, ''), '[A-Z]'))::DOUBLE / {LETTERS} > 0.7", 2),
+    ("len(regexp_extract_all(coalesce(subject, ''), '[!?$]')) >= 3", 1),
+    (f"regexp_matches({SUBJ}, '^(?:re|fw|fwd):') AND length(coalesce(subject, '')) < 20", 1),
+]
+BODY_CASES = [*((f"regexp_matches({LOW}, {q(p)})", 1) for p in BODY_FAMILIES), (f"regexp_matches({LOW}, {q(SHORTENERS)})", 2)]
+
+
+@query(f"SELECT message_id, {_sum(SUBJECT_CASES)} AS score FROM ({MAIL})")
+def rule_subject(spark, d):
+    return mail(spark, d).select("message_id", rules.subject_rules(F.col("subject"))["score"].alias("score"))
+
+
+@query(f"SELECT message_id, {_sum(BODY_CASES)} AS score FROM ({MAIL})")
+def rule_body(spark, d):
+    return mail(spark, d).select("message_id", rules.body_rules(F.col("text"), F.lit(None).cast("string"))["score"].alias("score"))
+
+
+@query(f"SELECT message_id, {_sum([(f'contains({LOW}, {q(k)})', w) for k, w in KEYWORDS.items()])} AS score FROM ({MAIL})")
+def rule_keywords(spark, d):
+    return mail(spark, d).select("message_id", rules.keyword_rules(F.col("text"))["score"].alias("score"))
+
+
+FROM = "lower(coalesce(originalmailfrom, ''))"
+SENDER = [
+    (f"{FROM} = ''", 2),
+    (f"{FROM} <> '' AND (" + " OR ".join(f"regexp_matches({FROM}, {q(p)})" for p in SENDER_PATTERNS) + ")", 2),
+    (f"{FROM} <> '' AND regexp_extract({FROM}, '@[^.]+\\.([a-z]+)$', 1) IN ({', '.join(map(q, SUSPICIOUS_TLDS))})", 2),
+    (f"{FROM} <> '' AND regexp_matches({FROM}, {q(SPOOFED_NAMES)}) AND NOT regexp_matches({FROM}, {q(SPOOFED_HOSTS)})", 3),
+]
+
+
+@query(f"SELECT report_id, {_sum(SENDER)} AS score FROM arf_result")
+def rule_sender(spark, d):
+    return table(spark, d, "arf_result").select("report_id", rules.sender_rules(F.col("originalmailfrom"), F.lit(None).cast("string"))["score"].alias("score"))
+
+
+@query()
+def rule_links(spark, d):
+    r = rules.link_rules(F.col("text"))
+    return mail(spark, d).select("message_id", r["score"].alias("score"), F.array_join(r["reasons"], ",").alias("reasons"))
+
+
+@query()
+def rule_spoof(spark, d):
+    s = table(spark, d, "session_info").join(table(spark, d, "auth_result").groupBy("message_id").agg(F.max("spf").alias("spf")), "message_id", "left")
+    none = F.lit(None).cast("string")
+    r = rules.spoofing_rules(F.col("envelope_from"), F.col("rcpt_to"), F.col("spf"), F.size("signing_domains") > 0, F.col("is_allowlisted"), none, none)
+    return s.select("message_id", r["score"].alias("score"))
+
+
+def _norm(c: str) -> str:
+    return f"coalesce(nullif(lower(trim({c})), ''), 'none')"
+
+
+AUTH_CASES = [x for k, (good, bad) in AUTH_WEIGHTS.items() for x in ((f"{_norm(k)} = 'pass'", good), (f"{_norm(k)} = 'fail'", bad))] + [(f"{_norm('spf')} = 'softfail'", 1)]
+
+
+@query(f"SELECT message_id, {_sum(AUTH_CASES)} AS score, concat_ws(';', 'mx', 'dkim=' || dkim, 'spf=' || spf, 'dmarc=' || dmarc, 'arc=' || arc) AS header FROM auth_result")
+def auth_score(spark, d):
+    c = [F.col(k) for k in ("dkim", "spf", "dmarc", "arc")]
+    h = auth.header("mx", c[0], c[1], F.lit(None).cast("string"), c[2], c[3])
+    return table(spark, d, "auth_result").select("message_id", auth.score(*c)["score"].alias("score"), F.replace(h, F.lit(";\n\t"), F.lit(";")).alias("header"))
+
+
+@query(
+    "WITH v AS (SELECT DISTINCT message_id, unnest([client_hostname, root_client_hostname, remote_address, envelope_from, split_part(envelope_from, '@', 2)]) AS value FROM session_info), "
+    "f AS (SELECT message_id, lower(trim(value)) AS value FROM v WHERE value IS NOT NULL AND trim(value) <> '') "
+    "SELECT message_id, bool_or(coalesce(is_truth_source, false)) AS is_truth_source, bool_or(coalesce(is_allowlisted, false)) AS is_allowlisted, bool_or(coalesce(is_denylisted, false)) AS is_denylisted "
+    "FROM f LEFT JOIN reputation r ON r.reputation_value = f.value GROUP BY message_id"
+)
+def reputation_agg(spark, d):
+    s = table(spark, d, "session_info")
+    values = F.array(F.col("client_hostname"), F.col("root_client_hostname"), F.col("remote_address"), F.col("envelope_from"), F.when(F.col("envelope_from").contains("@"), F.split_part("envelope_from", F.lit("@"), F.lit(2))))
+    attrs = F.array_distinct(F.filter(F.transform(F.array_compact(values), lambda v: F.lower(F.trim(v))), lambda v: v != ""))
+    found = reputation.look_up(s.select("message_id", attrs.alias("attrs")), table(spark, d, "reputation"))
+    return found.select("message_id", "is_truth_source", "is_allowlisted", "is_denylisted")
+
+
+@query()
+def attributes_aligned(spark, d):
+    s = table(spark, d, "session_info")
+    none = F.lit(None).cast("string")
+    a = reputation.attributes(F.col("client_hostname"), F.col("root_client_hostname"), F.col("remote_address"), F.col("envelope_from"), none, F.col("envelope_from"))
+    ok = reputation.aligned(a, F.col("root_client_hostname"), F.lit(False), F.col("signing_domains"))
+    return s.select("message_id", F.array_join(a, ",").alias("attrs"), F.size(ok).alias("aligned"))
+
+
+@query()
+def arf_roundtrip(spark, d):
+    r = table(spark, d, "arf_result")
+    raw = arf.create(F.col("report_id"), F.col("feedbacktype"), F.col("useragent"), F.col("sourceip"), F.col("originalmailfrom"), F.col("originalrcptto"), F.lit(None).cast("string"), F.coalesce("humanreadable", F.lit("")), F.lit("Subject: x\n\ny"))
+    p = arf.parse(r.select("report_id", raw.alias("raw")))
+    return p.select("report_id", "error", F.col("arf.feedback_type").alias("feedback_type"), F.col("arf.source_ip").alias("source_ip"), F.col("arf.original_mail_from").alias("mail_from"), F.array_join("arf.original_rcpt_to", ",").alias("rcpt"), F.col("arf.incidents").alias("incidents"))
+
+
+LABEL = "CASE WHEN label = 1 THEN 'spam' ELSE 'ham' END"
+COUNTS = f"SELECT category, token, CAST(count(*) * CASE WHEN category = 'ham' THEN 2 ELSE 1 END AS BIGINT) AS n FROM (SELECT {LABEL} AS category, unnest({TOKENS}) AS token FROM ({MAIL}) WHERE label IS NOT NULL) GROUP BY category, token"
+
+
+def _labelled(spark, d):
+    return mail(spark, d).where("label is not null").select(F.col("message_id").alias("id"), F.when(F.col("label") == 1, "spam").otherwise("ham").alias("category"), text.simple_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+@query(COUNTS)
+def nb_train(spark, d):
+    return bayes.train(_labelled(spark, d)).counts.select("category", "token", F.col("n").cast("long").alias("n"))
+
+
+@query(f"SELECT token, CAST(sum(n) AS BIGINT) AS n FROM ({COUNTS}) GROUP BY token ORDER BY sum(n) DESC, token LIMIT 500")
+def nb_vocab_topk(spark, d):
+    return bayes.vocabulary(bayes.train(_labelled(spark, d)).counts, 500)
+
+
+@query(
+    f"WITH c AS ({COUNTS}), p AS (SELECT {LABEL} AS category, count(*) AS docs FROM ({MAIL}) WHERE label IS NOT NULL GROUP BY 1), v AS (SELECT count(DISTINCT token) AS v FROM c), "
+    "t AS (SELECT category, sum(n) AS total FROM c GROUP BY category), b AS (SELECT p.category, ln(p.docs / (SELECT sum(docs) FROM p)) AS prior, CAST(t.total + v.v AS DOUBLE) AS below FROM p JOIN t USING (category), v), "
+    f"d AS (SELECT DISTINCT message_id AS id FROM ({MAIL}) WHERE label IS NOT NULL), tf AS (SELECT id, token, count(*) AS tf FROM (SELECT message_id AS id, unnest({TOKENS}) AS token FROM ({MAIL}) WHERE label IS NOT NULL) GROUP BY id, token), "
+    "s AS (SELECT tf.id, b.category, sum(tf.tf * ln((coalesce(c.n, 0) + 1) / b.below)) AS s FROM tf CROSS JOIN b LEFT JOIN c ON c.token = tf.token AND c.category = b.category GROUP BY tf.id, b.category), "
+    "x AS (SELECT d.id, b.category, b.prior + coalesce(s.s, 0) AS score FROM d CROSS JOIN b LEFT JOIN s ON s.id = d.id AND s.category = b.category) "
+    "SELECT id, arg_max(category, score + CASE WHEN category = 'ham' THEN 1e-9 ELSE 0 END) AS category FROM x GROUP BY id"
+)
+def nb_classify(spark, d):
+    docs = _labelled(spark, d)
+    return bayes.classify(docs.select("id", "tokens"), bayes.train(docs))
+
+
+@query(f"SELECT count(*) AS rows, CAST(count_if(label = 0) AS BIGINT) AS ham, CAST(count_if(label = 1) AS BIGINT) AS spam, round(least(count_if(label = 0), count_if(label = 1)) / greatest(count_if(label = 0), count_if(label = 1))::DOUBLE, 6) AS balance FROM ({MAIL})")
+def dataset_validate(spark, d):
+    return datasets.balance(mail(spark, d), "label").select("rows", "ham", "spam", F.round("balance", 6).alias("balance"))
+
+
+@query("SELECT sha256(message) AS hash, count(*) AS n FROM enron_dataset WHERE message IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def dataset_duplicates(spark, d):
+    return datasets.duplicates(table(spark, d, "enron_dataset"), "message")
+
+
+@query("SELECT id, label, CASE WHEN k <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id, loaded_at) AS k, count(*) OVER (PARTITION BY label) AS n FROM enron_dataset)")
+def holdout_split(spark, d):
+    m = table(spark, d, "enron_dataset").select("id", "label", F.struct("id", "loaded_at").alias("key"))
+    return datasets.holdout(m, "label", "key").select("id", "label", "part")
+
+
+@query(f"SELECT message_id, CAST(len({TOKENS}) AS INTEGER) AS tokens, CAST(len(regexp_extract_all(coalesce(text, ''), 'https?://')) AS INTEGER) AS urls, length(coalesce(subject, '')) AS subject_length, regexp_matches(coalesce(text, ''), '[0-9]') AS has_digits FROM ({MAIL})")
+def feature_vector(spark, d):
+    m = mail(spark, d).select("message_id", text.features(F.coalesce("subject", F.lit("")), F.coalesce("text", F.lit("")), F.lit(0)).alias("f"))
+    return m.select("message_id", "f.tokens", F.col("f.urls").cast("int").alias("urls"), F.col("f.subject_length").cast("long").alias("subject_length"), "f.has_digits")
+
+
+@query()
+def scan_verdicts(spark, d):
+    return scan(mail(spark, d))
+
+
+@query()
+def scan_metrics(spark, d):
+    return streaming.scan_metrics(scan(mail(spark, d)))
