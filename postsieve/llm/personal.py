@@ -204,7 +204,7 @@ def fit_names(texts: list[str], lexicon: set[str], epochs: int = 3, seed: int =
         idx[k, n : n + 2], val[k, n : n + 2] = b, 1.0
         val[k, n + 2] = 1.0  # bucket 0 is the bias
     rng, grad2 = np.random.default_rng(seed), np.full(BUCKETS, 1e-6)
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(30, 300_000 // len(y)))):  # small samples are gone through more often
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 256)):
             i, v = idx[part], val[part]
             z = (w[i] * v).sum(1)
@@ -373,6 +373,9 @@ def replace(text: str, mentions: list[tuple[int, int, str]]) -> str:
 _FAMILY = re.compile(r"^([^\W\d_]+(?:-[^\W\d_]+)?)-[^\W\d_]$")
 _DISPLAY = (re.compile(r'^"([^\W\d_][\w-]+), ([^\W\d_][\w-]+)" <'), re.compile(r"^([A-ZÀ-Þ][\w-]+) ([A-ZÀ-Þ][\w-]+)(?: <|$)"), re.compile(r"\(([A-ZÀ-Þ][\w-]+) ([A-ZÀ-Þ][\w-]+)\)$"))
 
+#: Names in the headers of earlier mail within a body.
+_IN_HEADER = re.compile(r"^[ >|]*(?:From|To|Cc|Von|An|De|À|Para|Da|A|Van|Aan|От|Кому):[ \t]+([A-ZÀ-Þ][\w’-]+)(?: [A-Z]\.)? ([A-ZÀ-Þ][\w’-]+)[ \t]*(?:$|[<\[;])", re.M)
+
 
 def _sample(df: DataFrame, key: str, rows: int) -> list:
     """At most `rows` rows by the hash of their key; thinned by hash first, so that no task sends more than its share."""
@@ -381,18 +384,20 @@ def _sample(df: DataFrame, key: str, rows: int) -> list:
 
 
 def fit(mail: DataFrame, reports: DataFrame, rows: int = SAMPLE_ROWS) -> NameModel:
-    """The name model from at most `rows` rows of each table: display names of senders and owners of mailboxes are the names."""
+    """The name model from at most `rows` rows of each table: display names of senders, names in headers of earlier mail and owners of mailboxes are the names."""
     some = _sample(mail.where("message is not null and id is not null").select("id", "message", "mailbox"), "id", rows)
     senders = _sample(reports.where("originalmailfrom is not null and report_id is not null").select("report_id", "originalmailfrom"), "report_id", rows)
     names: set[str] = set()
     for r in some:
         if m := _FAMILY.match(r["mailbox"] or ""):
             names |= set(_plain(m.group(1)).split("-"))
+        for m in _IN_HEADER.finditer(r["message"]):
+            names |= {x for g in m.groups() for x in _plain(g).split("-")}
     for r in senders:
         for p in _DISPLAY:
             if m := p.search(r["originalmailfrom"]):
                 names |= {x for g in m.groups() for x in _plain(g).split("-")}
-    return fit_names([canonical(r["message"]) for r in some], names)
+    return fit_names([canonical(r["message"]) for r in some] + [canonical(r["originalmailfrom"]) for r in senders], names)
 
 
 def find_mentions(df: DataFrame, model: NameModel) -> DataFrame:
