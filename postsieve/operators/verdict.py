@@ -50,10 +50,9 @@ def rewrite(raw: Column, lines: Column, tag: Column) -> Column:
     """The raw message with header lines before its first blank line, and the subject tagged once (tag null: not)."""
     eol = F.when(raw.contains("\r\n"), "\r\n").otherwise("\n")
     tagged = F.when(tag.isNull() | raw.contains(tag), raw).otherwise(F.regexp_replace(raw, r"(?im)^(subject:[ \t]*)", F.concat(F.lit("$1"), tag, F.lit(" "))))
-    at = F.regexp_instr(tagged, F.lit(r"\r?\n\r?\n"))
-    head = F.substring(tagged, F.lit(1), at - 1)
-    rest = F.substring(tagged, at, F.length(tagged))
-    return F.when(at > 0, F.concat(head, eol, lines, rest)).otherwise(F.concat(tagged, eol, lines))
+    literal = F.replace(F.replace(lines, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    blank = r"(?s)\A(.*?)(\r?\n\r?\n)"
+    return F.when(tagged.rlike(blank), F.regexp_replace(tagged, F.lit(blank), F.concat(F.lit("$1"), eol, literal, F.lit("$2")))).otherwise(F.concat(tagged, eol, lines))
 
 
 def report(is_spam_: Column, text: Column, score: Column) -> Column:

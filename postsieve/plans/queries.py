@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.functions import idn, text, urls
+from postsieve.functions import idn, stem, text, urls
 from postsieve.lookups import (
     ARCHIVE, ATTRIBUTE_SUFFIXES, AUTH_WEIGHTS, BODY_FAMILIES, BRANDS, CONFUSABLE, CONTEXT_PATTERNS, DATES, EXECUTABLE, GTUBE, KEYWORDS, LANGUAGE_CODES, LEGACY_OFFICE,
     MACRO_OFFICE, MACRO_SCRIPT, MACRO_TEXT, RULE_SUFFIXES, SENDER_PATTERNS, SHORTENERS, SPOOFED_HOSTS, SPOOFED_NAMES, STOP_WORDS, SUBJECT_FAMILIES, SUSPICIOUS_TLDS,
 )
-from postsieve.operators import arf, auth, bayes, datasets, detect, reputation, rules, timestamps
+from postsieve.operators import arf, auth, bayes, datasets, detect, reputation, rules, timestamps, toxicity, trigrams, verdict
 from postsieve.plans.scan import scan
 from postsieve.session import table
 from postsieve.streaming import scan as streaming
@@ -382,3 +382,123 @@ def scan_verdicts(spark, d):
 @query()
 def scan_metrics(spark, d):
     return streaming.scan_metrics(scan(mail(spark, d)))
+
+
+@query()
+def stem_en(spark, d):
+    tokens = mail(spark, d).select(F.explode(text.simple_tokens(F.coalesce("text", F.lit("")))).alias("token"))
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(stem.stems(counted), "token").groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+
+
+PLAIN_TEXT = "regexp_replace(regexp_replace(lower(coalesce(text, '')), '[0-9\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E\\s]+', ' ', 'g'), '^ | $', '', 'g')"
+TRIGRAMS = f"list_distinct(list_transform(range(1, greatest(length({PLAIN_TEXT}) - 1, 1)), lambda i: substring({PLAIN_TEXT}, i, 3)))"
+
+
+@query(
+    f"WITH t AS (SELECT lower(lang) AS lang, unnest({TRIGRAMS}) AS trigram FROM ({MAIL}) WHERE lower(lang) IN ('en', 'de', 'fr', 'es', 'it', 'nl', 'pt')), "
+    "p AS (SELECT lang, trigram FROM (SELECT lang, trigram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, trigram) AS k FROM t GROUP BY lang, trigram) WHERE k <= 200), "
+    f"e AS (SELECT message_id AS id, unnest({TRIGRAMS}) AS trigram FROM (SELECT DISTINCT message_id, text FROM ({MAIL}))), "
+    "s AS (SELECT id, lang, count(*) AS shared FROM e JOIN p USING (trigram) GROUP BY id, lang), "
+    "r AS (SELECT id, lang, shared, row_number() OVER (PARTITION BY id ORDER BY shared DESC, lang DESC) AS k FROM s) SELECT id, lang, shared FROM r WHERE k = 1"
+)
+def lang_detect(spark, d):
+    m = mail(spark, d).select(F.col("message_id").alias("id"), "text", F.lower("lang").alias("lang"))
+    profile = trigrams.profiles(m.where(F.col("lang").isin("en", "de", "fr", "es", "it", "nl", "pt")))
+    return trigrams.detect(m.select("id", "text").distinct(), profile)
+
+
+FLAGS = f"SELECT message_id, {any_of(LOW, sum(MACRO_TEXT.values(), []))} AS macros, {_sum(SUBJECT_CASES)} + {_sum(BODY_CASES)} >= 2 AS arbitrary FROM ({MAIL})"
+
+
+@query(f"SELECT message_id, macros OR arbitrary AS is_spam, CASE WHEN macros AND arbitrary THEN 'Spam (macros and arbitrary)' WHEN macros THEN 'Spam (macros)' WHEN arbitrary THEN 'Spam (arbitrary)' ELSE 'Ham' END AS message FROM ({FLAGS})")
+def verdict_message(spark, d):
+    m = mail(spark, d)
+    some = rules.subject_rules(F.col("subject"))["score"] + rules.body_rules(F.col("text"), F.lit(None).cast("string"))["score"]
+    f = m.select("message_id", (F.size(detect.macro_text(F.col("text"))) > 0).alias("macros"), (some >= 2).alias("arbitrary"))
+    flags = {"macros": F.col("macros"), "arbitrary": F.col("arbitrary")}
+    return f.select("message_id", verdict.is_spam(flags).alias("is_spam"), verdict.message(flags, F.lit(False), F.lit(False)).alias("message"))
+
+
+@query(
+    f"SELECT message_id, CAST({_sum(AUTH_CASES)} AS DOUBLE) AS score, CASE WHEN {_sum(AUTH_CASES)} >= 5 THEN 'YES' ELSE 'NO' END AS flag FROM auth_result"
+)
+def weighted_score(spark, d):
+    a = table(spark, d, "auth_result")
+    off = F.lit(False)
+    s = verdict.weighted_score({"phishing": F.lit(0)}, F.lit(0.5), auth.score(*(F.col(k) for k in ("dkim", "spf", "dmarc", "arc")))["score"], off, off, off)
+    h = verdict.headers(F.col("score"), F.col("score") >= 5, F.array(F.lit("T")))
+    return a.select("message_id", s.alias("score")).select("message_id", "score", F.try_element_at(h, F.lit("X-Spam-Flag")).alias("flag"))
+
+
+@query(
+    "SELECT message_id, 'Subject: ' || CASE WHEN contains(coalesce(subject, ''), '[SPAM]') THEN '' ELSE '[SPAM] ' END || coalesce(subject, '') || chr(10) || 'X-Spam-Flag: YES' || chr(10) || chr(10) || 'body' AS raw FROM (" + MAIL + ") WHERE NOT regexp_matches(coalesce(subject, ''), '[\\n\\r]')"
+)
+def rewrite_message(spark, d):
+    raw = F.concat(F.lit("Subject: "), F.coalesce("subject", F.lit("")), F.lit("\n\nbody"))
+    m = mail(spark, d).where(~F.coalesce("subject", F.lit("")).rlike(r"[\n\r]")).select("message_id", raw.alias("raw"))
+    return m.select("message_id", verdict.rewrite(F.col("raw"), F.lit("X-Spam-Flag: YES"), F.lit("[SPAM]")).alias("raw"))
+
+
+@query()
+def toxicity_lr(spark, d):
+    """Trained on the spam label, which stands in for one of toxicity."""
+    m = mail(spark, d).select(F.col("message_id").alias("id"), detect.toxicity_input(F.col("subject"), F.col("text"), F.lit(None).cast("string")).alias("text"), F.col("label").cast("double").alias("label"))
+    return toxicity.score(toxicity.train(m), m.select("id", "text")).select("id", F.round("toxicity", 4).alias("toxicity"), "toxic")
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'mail' AS source, id FROM enron_dataset UNION ALL SELECT 'reports', report_id FROM arf_result) GROUP BY source")
+def dataset_merge(spark, d):
+    parts = {"mail": table(spark, d, "enron_dataset").select("id"), "reports": table(spark, d, "arf_result").select(F.col("report_id").alias("id"))}
+    return datasets.merge(parts, "id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("merged_id").alias("ids"))
+
+
+@query(f"SELECT CAST(least((SELECT count(DISTINCT t) FROM (SELECT unnest({TOKENS}) AS t FROM ({MAIL}) WHERE label IS NOT NULL)), floor((SELECT count(*) FROM ({MAIL}) WHERE label IS NOT NULL) * 0.1)) AS BIGINT) AS vocabulary")
+def dynamic_vocabulary(spark, d):
+    return bayes.dynamic_limit(_labelled(spark, d)).select(F.col("vocabulary").cast("long").alias("vocabulary"))
+
+
+@query()
+def nb_accuracy(spark, d):
+    docs = _labelled(spark, d)
+    return bayes.accuracy(bayes.classify(docs.select("id", "tokens"), bayes.train(docs)), docs.select("id", F.col("category").alias("label")).distinct())
+
+
+@query()
+def nb_probabilities(spark, d):
+    docs = _labelled(spark, d)
+    return bayes.probabilities(docs.select("id", "tokens"), bayes.train(docs)).select("id", "category", F.round("probability", 6).alias("probability"))
+
+
+@query("SELECT category, token, CAST(2 * n AS BIGINT) AS n FROM (" + COUNTS + ")")
+def nb_incremental(spark, d):
+    m = bayes.train(_labelled(spark, d))
+    return bayes.merge(m, m).counts.select("category", "token", F.col("n").cast("long").alias("n"))
+
+
+ANON = "regexp_replace(regexp_replace(regexp_replace(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}\\b', '[EMAIL]', 'g'), '\\b\\d{3}-\\d{3}-\\d{4}\\b', '[PHONE]', 'g'), '\\b\\d{4}[ -]?\\d{4}[ -]?\\d{4}[ -]?\\d{4}\\b', '[CARD]', 'g')"
+
+
+@query(f"SELECT message_id, {ANON} AS masked FROM ({MAIL})")
+def anonymise(spark, d):
+    return mail(spark, d).select("message_id", text.anonymise(F.col("text")).alias("masked"))
+
+
+@query()
+def url_normalise(spark, d):
+    return mail(spark, d).select("message_id", F.explode(urls.urls(F.col("text"))).alias("url"))
+
+
+@query()
+def public_suffixes(spark, d):
+    h = table(spark, d, "session_info").where("client_hostname is not null").select("client_hostname").distinct()
+    s = urls.public_suffix(F.col("client_hostname"))
+    return h.select("client_hostname", s["domain"].alias("domain"), s["sld"].alias("sld"), s["suffix"].alias("suffix"), s["subdomain"].alias("subdomain"), s["is_ip"].alias("is_ip"))
+
+
+@query(
+    f"SELECT message_id, host FROM (SELECT DISTINCT message_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM (SELECT message_id, unnest({URLS}) AS url FROM ({MAIL}))) WHERE host IN (SELECT reputation_value FROM reputation)"
+)
+def blocked_hosts(spark, d):
+    blocked = table(spark, d, "reputation").select(F.col("reputation_value").alias("host"))
+    return detect.blocked_hosts(mail(spark, d), blocked).select("message_id", "host")

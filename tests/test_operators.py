@@ -148,3 +148,24 @@ def test_stream(spark, tmp_path):
     q = scan_stream(read_mail_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("scanned").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert {r["message_id"]: r["is_spam"] for r in spark.table("scanned").collect()} == {1: True, 2: False}
+
+
+def test_rewrite_beyond_the_basic_plane(spark):
+    assert value(spark, verdict.rewrite(F.lit("Subject: 𝐚𝐛\r\n\r\nb"), F.lit("X: $1\\"), F.lit(None).cast("string"))) == "Subject: 𝐚𝐛\r\nX: $1\\\r\n\r\nb"
+
+
+@pytest.mark.parametrize("word,want", [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("filing", "file"), ("generalizations", "gener"), ("oscillators", "oscil"), ("sky", "sky"), ("happy", "happi")])
+def test_stems(word, want):
+    from postsieve.functions.stem import porter
+
+    assert porter(word) == want
+
+
+def test_models_and_corpora(spark, tmp_path):
+    from postsieve.sources import sinks
+
+    m = bayes.train(spark.createDataFrame([("spam", ["win"]), ("ham", ["report"])], "category string, tokens array<string>"))
+    sinks.save_model(m, str(tmp_path / "m"))
+    assert {tuple(r) for r in sinks.load_model(spark, str(tmp_path / "m")).counts.collect()} == {("spam", "win", 1), ("ham", "report", 2)}
+    sinks.write_corpus(spark.createDataFrame([("s", "m", "ham")], "subject string, message string, label_text string"), str(tmp_path / "c"))
+    assert (tmp_path / "c" / "label_text=ham").is_dir()
