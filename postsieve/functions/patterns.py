@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+#: A boundary before a letter or digit, and one after: there a single look-around is enough, and far cheaper.
+_STARTS = re.compile(r"^\\b(?=(?:\(\?:)*(?:\\d|[A-Za-z0-9]))")
+_ENDS = re.compile(r"(?<=[A-Za-z0-9)])\\b$|(?<=\\d[+])\\b$|(?<=\\d\{\d\})\\b$|(?<=\\d\{\d,\d\})\\b$")
+
+
 def java(pattern: str) -> str:
     """The pattern for the JVM, where \\b alone would be Unicode-aware."""
+    pattern = _ENDS.sub(lambda m: "(?![A-Za-z0-9_])", _STARTS.sub(lambda m: "(?<![A-Za-z0-9_])", pattern))
     return pattern.replace(r"\b", _BOUNDARY)
 
 

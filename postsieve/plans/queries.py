@@ -14,7 +14,7 @@ from postsieve.lookups import (
 )
 from postsieve.operators import arf, auth, bayes, datasets, detect, reputation, rules, timestamps, toxicity, trigrams, verdict
 from postsieve.plans.scan import scan
-from postsieve.session import table
+from postsieve.session import spread, table
 from postsieve.streaming import scan as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mail(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "enron_dataset").select(F.col("id").alias("message_id"), "subject", F.col("message").alias("text"), "label", "lang", "loaded_at")
+    return spread(table(spark, d, "enron_dataset").select(F.col("id").alias("message_id"), "subject", F.col("message").alias("text"), "label", "lang", "loaded_at"))
 
 
 def q(text: str) -> str:

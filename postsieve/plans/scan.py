@@ -12,17 +12,17 @@ def scan(mail: DataFrame, threshold: int = 5) -> DataFrame:
     """mail(message_id, subject, text, html) -> (message_id, is_spam, message, rule_score, n_reasons), without any shuffle."""
     html = F.col("html") if "html" in mail.columns else F.lit(None).cast("string")
     t, s = F.col("text"), F.col("subject")
-    groups = mail.select(
-        "message_id", "text", rules.blocked_phrase(s).alias("g0"), rules.subject_rules(s).alias("g1"), rules.body_rules(t, html).alias("g2"),
-        rules.keyword_rules(t).alias("g3"), rules.link_rules(F.concat_ws(" ", t, html)).alias("g4"), rules.anchor_rules(html).alias("g5"),
-    )
-    scored = groups.withColumn("total", rules.total([F.col(f"g{i}") for i in range(6)]))
-    flags = {
-        "macros": F.size(detect.macro_text(F.col("text"))) > 0,
-        "arbitrary": (F.col("total.score") >= threshold) | detect.gtube(F.col("text")),
-        "patterns": detect.date_spam(F.col("text")),
-    }
-    named = scored.select("message_id", F.col("total.score").alias("rule_score"), F.size("total.reasons").alias("n_reasons"), *(f.alias(k) for k, f in flags.items()))
+    parts = {
+        "g0": rules.blocked_phrase(s), "g1": rules.subject_rules(s), "g2": rules.body_rules(t, html), "g3": rules.keyword_rules(t),
+        "g4": rules.link_rules(F.concat_ws(" ", t, html)), "g5": rules.anchor_rules(html),
+        "macros": F.size(detect.macro_text(t)) > 0, "gtube": detect.gtube(t), "patterns": detect.date_spam(t),
+    }
+    # explode is a fence: what follows reads the results more than once and must not repeat the patterns
+    once = mail.select("message_id", F.explode(F.array(F.struct(*(c.alias(k) for k, c in parts.items())))).alias("x"))
+    total = rules.total([F.col(f"x.g{i}") for i in range(6)])
+    scored = once.select("message_id", F.explode(F.array(F.struct(total["score"].alias("score"), F.size(total["reasons"]).alias("n"), "x.macros", "x.gtube", "x.patterns"))).alias("y"))
+    flags = {"macros": F.col("y.macros"), "arbitrary": (F.col("y.score") >= threshold) | F.col("y.gtube"), "patterns": F.col("y.patterns")}
+    named = scored.select("message_id", F.col("y.score").alias("rule_score"), F.col("y.n").alias("n_reasons"), *(f.alias(k) for k, f in flags.items()))
     have = {k: F.col(k) for k in flags}
     none = F.lit(False)
     return named.select("message_id", verdict.is_spam(have).alias("is_spam"), verdict.message(have, none, none).alias("message"), "rule_score", "n_reasons")
