@@ -38,9 +38,11 @@ PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 _DOMAIN_TEXT = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,10}"
 _DOMAIN = re.compile(_DOMAIN_TEXT)
 _HIDDEN = re.compile(
-    r"[A-Za-z0-9][\w.+=-]*\s?(?:\((?:at|a|AT)\)|\[(?:at|a|AT|@)\]|\{at\}|<at>|\(@\)|@)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\(\.\)|\[\.\]|\sdot\s)\s?[A-Za-z0-9-]+)*?\s?(?:\.|\(dot\)|\[dot\]|\(\.\)|\[\.\]|\sdot\s)\s?[A-Za-z]{2,10}\b"
+    r"[A-Za-z0-9][\w.+=-]*\s?(?:\((?:at|a|AT)\)|\[(?:at|a|AT|@)\]|\{at\}|<at>|\(@\)|@)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\(\.\)|\[\.\]|\sdot\s)\s?[A-Za-z0-9-]+)*?\s?(?:\.|\(dot\)|\[dot\]|\(\.\)|\[\.\]|\sdot\s)\s?[A-Za-z]{2,10}\b(?:\s?(?:\(dot\)|\[dot\]|\(\.\)|\[\.\])\s?[A-Za-z0-9-]+\b)*"
     rf"|[A-Za-z0-9][\w.+=-]*\s(?:at|AT)\s[A-Za-z0-9-]+(?:\s(?:dot|DOT)\s[A-Za-z0-9-]+)+|[a-z0-9][\w.+=-]*\sat\s(?:[a-z0-9-]+\.)+(?:test|invalid|example|com|org|net|edu|gov|info|biz|[a-z]{{2}})\b"
 )
+#: A mark set off by a blank, then a word that ends a sentence: "clause (a) above. The", no address.
+_NO_HIDDEN = re.compile(r"\s[(\[{<]\S{1,2}[)\]}>]\s?[A-Za-z0-9-]+\.\s")
 _HIDE_HINT = re.compile(r"@|\(at\)|\[at\]|\(a\)|\[a\]|\{at\}|<at>| at [\w-]+(?: dot |\.[a-z])| AT [\w-]+ DOT ", re.I)
 
 _NUM = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
@@ -246,8 +248,11 @@ def nodes_of(text: str, model: NameModel) -> tuple[list[tuple[int, int, int, flo
     for mark in _AT_MARKS:
         at = text.find(mark)
         while at >= 0:
-            for m in _HIDDEN.finditer(text, max(0, text.rfind(" ", 0, at) + 1 if at else 0), at + 90):
-                if m.start() <= at + 3 and free(m.start(), m.end()):
+            i = at - 1 if at and text[at - 1].isspace() else at  # the local part, up to a blank before the mark
+            while i and (text[i - 1].isalnum() or text[i - 1] in "_.+=-"):
+                i -= 1
+            for m in _HIDDEN.finditer(text, i, at + 90):
+                if m.start() <= at + 3 and free(m.start(), m.end()) and not _NO_HIDDEN.search(m.group()):
                     add(m.start(), m.end(), 0, 4.0, m.group().casefold())
                 break
             at = text.find(mark, at + len(mark))

@@ -72,6 +72,22 @@ def test_personal_patterns():
     assert personal.replace(text, personal.label([text], m)[0]) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("mark", ["(at)", "(AT)", "(a)", "[at]", "[AT]", "[a]", "[@]", "(@)", "<at>", "{at}"])
+@pytest.mark.parametrize("dot", ["(dot)", "[dot]"])
+def test_addresses_hidden_with_blanks(mark, dot):
+    m = personal.NameModel(np.zeros(personal.BUCKETS) - 1)
+    for before in ("", "ask ", "To:\n", "a(at)b.example,"):
+        text = f"{before}oskar15 {mark} mail {dot} kaloren {dot} example, not us."
+        got = personal.label([text], m)[0]
+        assert (len(before), text.index("," if "," not in before else ", not"), "email") in got
+        assert personal.replace(text, got).endswith("[EMAIL], not us.")
+
+
+def test_marks_of_lists_hide_no_address():
+    m = personal.NameModel(np.zeros(personal.BUCKETS) - 1)
+    assert personal.label(["Under clause (a) above. The rest, item [a] below. And so on."], m)[0] == []
+
+
 def test_message_passing_is_exact_on_a_chain():
     u, s, d, j = np.array([2.0, -0.5, -1.0]), np.array([0, 1]), np.array([1, 2]), np.array([0.9, 1.6])
     got = personal.propagate(u, s, d, j)
