@@ -1,14 +1,16 @@
-"""Near-duplicate records by bottom-k sketches of one hash function, at a threshold of Jaccard similarity.
+"""Near-duplicate records by prefix and position filters, at a threshold of Jaccard similarity. No pair is missed.
 
 1. Each record becomes the set of hashed runs of w words. Equal sets form a class; only one record of each goes on.
 2. Values are counted in a table of bounded size. One order over all values, by count level and then by hash, puts values that
-   boilerplate repeats last. Two sets of the threshold's similarity must share a value among the first (1 - threshold) of
-   their values in that order, and commonly share many; a record's sketch is the k least hashes of that part.
-3. Inverted lists of the retained values give overlaps of pairs. A list's key is a run of neighbouring values of the
-   sketch (single values where sketches are small), as one value by itself is shared by chance too often; a list of common
-   values is split into blocks and its pairs are formed block by block, so that no task holds a list whole.
-4. The number of common keys estimates the similarity in the pair's union sketch; pairs that can't reach the threshold go.
-5. Exact Jaccard similarity of the full sets verifies the others.
+   boilerplate repeats last. Two sets of the threshold's similarity share a value among the first (1 - threshold) of their
+   values in that order; these are a record's prefix.
+3. Inverted lists of the prefix values give pairs. A list of common values is split into blocks and its pairs are formed block
+   by block, so that no task holds a list whole.
+4. From the first value that two sets share, both must go on for as long as the common part that their sizes ask for. A list
+   gives only pairs that can satisfy this, which also bounds how much their sizes may differ.
+5. A set's values, each taken to one of 512 bits, give its parities. Where those of two sets differ, the sets differ in a value at
+   least; pairs that differ in too many bits to be similar go before whole sets are moved.
+6. Exact Jaccard similarity of the full sets verifies the others.
 
 Defined results: records whose text is null or blank, or has fewer than w words, have an empty set and match nothing. Repeated rows
 of an id count once (the first delivery). Equal texts are similar with 1.0. Extra columns are ignored; an empty table gives an
@@ -37,16 +39,11 @@ _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 
 @dataclass(frozen=True)
 class Settings:
-    """words: length of a run. threshold: least similarity. k: values of a sketch. chain: neighbouring values in a key. overlap:
-    least number of common keys. single: sketches up to this size are listed by single values. bits: log2 of the greatest size of the count table; a smaller one
+    """words: length of a run. threshold: least similarity. bits: log2 of the greatest size of the count table; a smaller one
     serves while values are few. block: records in a block of a split list."""
 
     words: int = 5
     threshold: float = 0.8
-    k: int = 64
-    chain: int = 3
-    overlap: int = 1
-    single: int = 20
     bits: int = 23
     block: int = 512
 
@@ -89,7 +86,18 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SETS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("print", pa.binary()), ("values", pa.binary())])
+def mixed(values: np.ndarray) -> np.ndarray:
+    """The one hash function that orders values within a level."""
+    with np.errstate(over="ignore"):
+        return (values * _A) ^ ((values * _C) >> np.uint64(17))
+
+
+def parities(values: np.ndarray) -> bytes:
+    """512 bits: whether an odd number of the values falls to each."""
+    return np.packbits(np.bincount((mixed(values) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
+_SETS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("print", pa.binary()), ("bits", pa.binary()), ("values", pa.binary())])
 
 
 def _sets(settings: Settings):
@@ -101,8 +109,8 @@ def _sets(settings: Settings):
                 s = runs(hashed_words(text, known), settings.words) if text else ()
                 if len(s):
                     raw = pack(s)
-                    rows.append((i, at, len(s), xxhash.xxh128_digest(raw), raw))
-            cols = list(zip(*rows)) if rows else [()] * 5
+                    rows.append((i, at, len(s), xxhash.xxh128_digest(raw), parities(s), raw))
+            cols = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
 
     return run
@@ -156,54 +164,33 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / (mean + 3 * np.sqrt(mean))))).astype(np.int8)
 
 
-_POSTINGS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("side", pa.int8()), ("id", pa.int64())])
+_POSTINGS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("side", pa.int8()), ("id", pa.int64()), ("n", pa.int32()), ("rest", pa.int32())])
 #: Sides of a block: the two parts of a split list, or one list or part whose own pairs are wanted.
 _LEFT, _RIGHT, _WHOLE = 0, 1, 2
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """The one hash function that orders values within a level."""
-    with np.errstate(over="ignore"):
-        return (values * _A) ^ ((values * _C) >> np.uint64(17))
-
-
-def keys_of(values: np.ndarray, parts: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a sketch and into how many parts the list of each is split. Sketches of neighbouring sizes have a kind of key in common."""
-    m, many, out = mixed(values), parts[_bucket(values, settings.bits)].astype(np.int64), []
-    with np.errstate(over="ignore"):
-        if len(m) <= settings.single / settings.threshold + 1:
-            out.append((m, many))
-        if len(m) > settings.single:
-            n = len(m) - settings.chain + 1
-            key, least = np.zeros(n, dtype=np.uint64), many[:n]
-            for c in range(settings.chain):
-                key = (key ^ m[c : c + n]) * _B + _C
-                key ^= key >> np.uint64(31)
-                least = np.minimum(least, many[c : c + n])
-            out.append((key, least))
-    return np.concatenate([x for x, _ in out]).view(np.int64), np.concatenate([y for _, y in out])
-
-
 def _postings(held, settings: Settings):
-    """Keys of every record. The list of a key whose values are more common than a block holds is split into parts; a record in part p goes
-    to the block of each pair of parts that holds p, and block p:p forms the pairs within p."""
+    """Prefix values of every record, each with the size of the set and how many of its values are left from there on. The list of a value
+    that is more common than a block holds is split into parts; a record in part p goes to the block of each pair of parts that holds p, and
+    block p:p forms the pairs within p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = held.value[1]
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for i, raw in zip(*(b.column(c).to_pylist() for c in ("id", "values"))):
-                v, many = keys_of(unpack(raw), parts, settings)
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for i, n, raw in zip(*(b.column(c).to_pylist() for c in ("id", "n", "values"))):
+                v = unpack(raw)
+                many, rest = parts[_bucket(v, settings.bits)].astype(np.int64), n - np.arange(len(v))
                 wide = many > 1
                 if wide.any():
-                    for x, s in zip(v[wide], many[wide]):
+                    for x, s, left in zip(v[wide], many[wide], rest[wide]):
                         p = xxhash.xxh32_intdigest(int(i).to_bytes(8, "little", signed=True)) % int(s)
                         q = np.arange(s)
                         side = np.where(q == p, _WHOLE, np.where(q < p, _RIGHT, _LEFT))
-                        for col, val in zip(out, (np.full(s, x), np.minimum(p, q) * s + np.maximum(p, q), side, np.full(s, i))):
+                        for col, val in zip(out, (np.full(s, x), np.minimum(p, q) * s + np.maximum(p, q), side, np.full(s, i), np.full(s, n), np.full(s, left))):
                             col.append(val)
-                    v = v[~wide]
-                for col, val in zip(out, (v, np.zeros(len(v)), np.full(len(v), _WHOLE), np.full(len(v), i))):
+                    v, rest = v[~wide], rest[~wide]
+                for col, val in zip(out, (v, np.zeros(len(v)), np.full(len(v), _WHOLE), np.full(len(v), i), np.full(len(v), n), rest)):
                     col.append(val)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(out, _POSTINGS)], schema=_POSTINGS)
@@ -214,9 +201,9 @@ def _postings(held, settings: Settings):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of records that share a key, from postings sorted by (value, block)."""
-    rest: list[np.ndarray] | None = None
+def _lists(settings: Settings):
+    """Pairs of records that share a value from which both go on long enough, from postings sorted by (value, block)."""
+    share = settings.threshold / (1 + settings.threshold)
 
     def batch(got: list[tuple]) -> pa.RecordBatch:
         a, b = (np.concatenate([g[c] for g in got]) for c in (0, 1))
@@ -225,38 +212,63 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
 
     def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        value, block, side, i = cols
+        value, block, side, i, n, rest = cols
+        n = n.astype(np.int64)
         starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
         size = np.diff(np.r_[starts, len(value)])
         two = starts[size == 2]
         two = two[(side[two] == _WHOLE) | (side[two] != side[two + 1])]
+        two = two[np.minimum(rest[two], rest[two + 1]) >= share * (n[two] + n[two + 1]) - 1e-6]
         got, held = [(i[two], i[two + 1])], len(two)  # most lists: done at once
-        for a, n in zip(starts[size > 2], size[size > 2]):
-            ids, sides = i[a : a + n], side[a : a + n]
-            right = ids[sides == _RIGHT]
-            for k, x in enumerate(ids[sides != _RIGHT]):
-                others = ids[k + 1 :] if sides[0] == _WHOLE else right
-                got.append((np.full(len(others), x), others))
-                held += len(others)
+        for a, m in zip(starts[size > 2], size[size > 2]):
+            at = np.arange(a, a + m)
+            whole, right = side[a] == _WHOLE, at[side[at] == _RIGHT]
+            at = at[np.argsort(n[at], kind="stable")] if whole else at[side[at] != _RIGHT]
+            early = rest[at] >= 2 * share * n[at] - 1e-6  # the smaller set of a pair has the value this early
+            for k in np.flatnonzero(early) if whole else range(len(at)):
+                x, others = at[k], at[k + 1 :] if whole else right
+                others = others[np.minimum(rest[others], rest[x]) >= share * (n[others] + n[x]) - 1e-6]
+                if len(others):
+                    got.append((np.full(len(others), i[x]), i[others]))
+                    held += len(others)
                 if held > 50_000:
                     yield batch(got)
                     got, held = [], 0
         if got:
             yield batch(got)
 
-    for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS.names]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-        cut = int(other[-1]) + 1 if len(other) else 0
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield from out([c[:cut] for c in cols])
-    if rest is not None and len(rest[0]):
-        yield from out(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS.names]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols)]
+            if not len(cols[0]):
+                continue
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            rest = [c[cut:] for c in cols]
+            if cut:
+                yield from out([c[:cut] for c in cols])
+        if rest is not None and len(rest[0]):
+            yield from out(rest)
+
+    return run
+
+
+def _near(settings: Settings):
+    """Pairs whose parities leave room for the similarity."""
+    share = settings.threshold / (1 + settings.threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 64) for c in ("bits_a", "bits_b"))
+                both = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+                ok = (both - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) / 2 >= share * both - 1e-6
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 def _verify(settings: Settings):
@@ -286,7 +298,7 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/neardup-{uuid.uuid4().hex}"
     made = df.where("id is not null and text is not null").select(F.col("id").cast("long"), F.unix_micros(F.col("loaded_at").cast("timestamp")), "text").mapInArrow(
-        _sets(settings), "id long, at long, n int, print binary, values binary"
+        _sets(settings), "id long, at long, n int, print binary, bits binary, values binary"
     )
     made.write.parquet(f"{folder}/sets")  # read three times below
     sets = spark.read.parquet(f"{folder}/sets")
@@ -300,12 +312,15 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     level = levels(counts)
     parts = np.minimum(32767, np.maximum(1, -(-np.where(level > 1, counts.astype(np.int64), 0) // settings.block))).astype(np.int16)
     held = spark.sparkContext.broadcast((level, parts))  # two tables of 2**bits numbers
-    sketch = sets.select("id", "print", "n", "values").mapInArrow(_sketch(held, settings), "id long, print binary, n int, values binary")
-    # of a class, and of an id delivered again, only one sketch stays
-    reps = sketch.groupBy("print").agg(F.min(F.struct("id", "values")).alias("m")).select("m.id", "m.values")
-    posted = reps.mapInArrow(_postings(held, settings), "value long, block int, side tinyint, id long")
-    pairs = posted.repartition("value", "block").sortWithinPartitions("value", "block").mapInArrow(_lists, "a long, b long")
-    likely = cut_lineage(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= settings.overlap).select("a", "b"))
+    prefix = sets.select("id", "print", "n", "values").mapInArrow(_prefix(held, settings), "id long, print binary, n int, values binary")
+    # of a class, and of an id delivered again, only one prefix stays
+    reps = prefix.groupBy("print").agg(F.min(F.struct("id", "n", "values")).alias("m")).select("m.id", "m.n", "m.values")
+    posted = reps.mapInArrow(_postings(held, settings), "value long, block int, side tinyint, id long, n int, rest int")
+    pairs = posted.repartition("value", "block").sortWithinPartitions("value", "block").mapInArrow(_lists(settings), "a long, b long")
+    likely = cut_lineage(pairs.distinct())
+    bits = sets.select("id", "n", "bits").dropDuplicates(["id"])
+    side = [bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+    likely = cut_lineage(likely.join(side[0], "a").join(side[1], "b").mapInArrow(_near(settings), "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     full = sets.select("id", "values").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     both = likely.join(full.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(full.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
@@ -313,8 +328,8 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     return links, members
 
 
-def _sketch(held, settings: Settings):
-    """The values of a record that its sketch retains, in place of all."""
+def _prefix(held, settings: Settings):
+    """The first values of a record in the one order, in place of all."""
     schema = pa.schema([("id", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +340,7 @@ def _sketch(held, settings: Settings):
                 v = unpack(raw)
                 m = mixed(v)
                 first = np.lexsort((m, level[_bucket(v, settings.bits)]))[: len(v) - int(np.ceil(settings.threshold * len(v) - 1e-9)) + 1]
-                small.append(pack(v[first[np.argsort(m[first])[: settings.k]]]))
+                small.append(pack(v[first]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("print"), b.column("n"), pa.array(small, pa.binary())], schema=schema)
 
     return run

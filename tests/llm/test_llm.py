@@ -160,6 +160,19 @@ def test_near_duplicates_with_a_hot_group(spark):
     assert five == brute(rows, 5, 0.8)
 
 
+def test_near_duplicates_of_a_hot_template_extended_by_rare_words(spark):
+    """The common part of a pair is frequent and comes last in the order; only one value need be shared before it."""
+    base = " ".join(f"t{i}" for i in range(102))
+    rows = {i: f"{base} " + " ".join(f"x{i}a{k}" for k in range(400)) for i in range(60)}  # makes the template common
+    rows |= {100 + k: f"{base} " + " ".join(f"y{k}a{j}" for j in range(54 + k)) for k in range(13)}  # 0.60 to 0.65 with the template, about
+    rows[200] = base
+    df = spark.createDataFrame([(i, x, AT) for i, x in rows.items()], "id long, text string, loaded_at timestamp")
+    want = brute(rows, 3, 0.6)
+    assert len(want) == 13 and all(b == 200 for _, b in want)
+    for block in (16, 512):
+        assert {tuple(r) for r in neardup.pairs_of(df, neardup.Settings(words=3, threshold=0.6, block=block)).collect()} == want
+
+
 # 6 language
 def test_language_held_out(spark, data):
     m = table(spark, "/root/testdata/sf0.01", "enron_dataset")
