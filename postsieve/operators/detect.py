@@ -89,10 +89,11 @@ def virus_hits(attachments: DataFrame, signatures: DataFrame) -> DataFrame:
     return attachments.withColumn("sha256", F.sha2("content", 256)).join(signatures, "sha256").select("message_id", "filename", "name")
 
 
-def toxicity_input(subject: Column, text: Column, html: Column) -> Column:
-    """Text a toxicity model reads: parts that aren't blank, first 5000 characters; null below 10."""
+def toxicity_input(subject: Column, text: Column, html: Column, limit: int | None = None) -> Column:
+    """Text a toxicity model reads: parts that aren't blank, whole or the first `limit` characters (5000 in the reference); null below 10."""
     part = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
-    joined = F.substring(F.concat_ws(" ", part(subject), part(text), part(F.regexp_replace(html, "<[^>]*>", ""))), 1, 5000)
+    joined = F.concat_ws(" ", part(subject), part(text), part(F.regexp_replace(html, "<[^>]*>", "")))
+    joined = joined if limit is None else F.substring(joined, 1, limit)
     return F.when(F.length(joined) >= 10, joined)
 
 

@@ -79,6 +79,14 @@ def test_detectors(spark):
     assert value(spark, detect.executable_by_content(F.lit(b"MZ\x00\x00"))) == "exe"
 
 
+def test_toxicity_reads_whole_texts(spark):
+    none = F.lit(None).cast("string")
+    long = "word " * 2000 + "end"
+    assert value(spark, detect.toxicity_input(none, F.lit(long), none)) == long
+    assert value(spark, detect.toxicity_input(none, F.lit(long), none, 5000)) == long[:5000]
+    assert value(spark, detect.toxicity_input(none, F.lit("short"), none, 5000)) is None
+
+
 def test_languages(spark):
     for code, want in {"eng": "en", "zho": "zh", "jpn": "ja", "DE": "de", "qqq": "en"}.items():
         assert value(spark, text.language_code(F.lit(code))) == want
