@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -357,23 +358,25 @@ def pairs_of(df: DataFrame, settings: Settings) -> DataFrame:
     return across.union(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def groups_of(df: DataFrame, settings: Settings, rounds: int = 60) -> DataFrame:
+def groups_of(df: DataFrame, settings: Settings, rounds: int | None = None) -> DataFrame:
     """(id, group_id, links): the group of every record with a set, named by its least id, and its number of similar texts.
 
     Groups are the components over class representatives: least ids spread along links and through shortcuts until
-    nothing changes. Each round is cut by a checkpoint; nothing is gathered on the driver but one number.
+    nothing changes; an error tells if that takes more than `rounds`. Each round is cut by a checkpoint; nothing is gathered on the driver but one number.
     """
     links, members = similar(df, settings)
     links = cut_lineage(links.select("a", "b"))
     both = cut_lineage(links.union(links.select(F.col("b"), F.col("a"))))
     label = cut_lineage(both.select(F.col("a").alias("v")).distinct().withColumn("g", F.col("v")))
-    for _ in range(rounds):
+    for done in count(1):
         near = both.join(label.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
         step = label.join(near, "v").select("v", F.least("g", "m").alias("g"), (F.col("m") < F.col("g")).alias("moved"))
         jump = step.join(step.select(F.col("v").alias("g"), F.col("g").alias("gg")), "g", "left").select("v", F.least("g", F.coalesce("gg", "g")).alias("g"), "moved")
         label = cut_lineage(jump)
         if not label.where("moved").limit(1).count():
             break
+        if done == rounds:
+            raise RuntimeError(f"groups still change after {rounds} rounds")
         label = label.select("v", "g")
     degree = both.groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
     named = members.join(label.select(F.col("v").alias("rep"), "g"), "rep", "left").join(degree, "rep", "left")

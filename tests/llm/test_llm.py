@@ -173,6 +173,14 @@ def test_near_duplicates_of_a_hot_template_extended_by_rare_words(spark):
         assert {tuple(r) for r in neardup.pairs_of(df, neardup.Settings(words=3, threshold=0.6, block=block)).collect()} == want
 
 
+def test_groups_are_not_cut_short(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 100)), AT) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, text string, loaded_at timestamp")
+    with pytest.raises(RuntimeError):
+        neardup.groups_of(df, neardup.MAIL, rounds=1)
+    assert {r["group_id"] for r in neardup.groups_of(df, neardup.MAIL).collect()} == {0}
+
+
 # 6 language
 def test_language_held_out(spark, data):
     m = table(spark, "/root/testdata/sf0.01", "enron_dataset")
