@@ -1,20 +1,19 @@
-"""Near-duplicate records by prefix and position filters, at a threshold of Jaccard similarity. No pair is missed.
+"""Near-duplicate records by bottom-k sketches, at a threshold of Jaccard similarity. No pair is missed.
 
 1. Each record becomes the set of hashed runs of w words. Equal sets form a class; only one record of each goes on.
-2. Values are counted in a table of bounded size. One order over all values, by count level and then by hash, puts values that
-   boilerplate repeats last. Two sets of the threshold's similarity share a value among the first (1 - threshold) of their
-   values in that order; these are a record's prefix.
-3. Inverted lists of the prefix values give pairs. A list of common values is split into blocks and its pairs are formed block
-   by block, so that no task holds a list whole.
-4. From the first value that two sets share, both must go on for as long as the common part that their sizes ask for. A list
-   gives only pairs that can satisfy this, which also bounds how much their sizes may differ.
-5. A set's values, each taken to one of 512 bits, give its parities. Where those of two sets differ, the sets differ in a value at
-   least; pairs that differ in too many bits to be similar go before whole sets are moved.
-6. Exact Jaccard similarity of the full sets verifies the others.
+2. One hash function orders all values, within their count level: values that boilerplate repeats have high levels and come last. The
+   sketch of a set of n values is its bottom k in this order, with k = n - ceil(threshold * n) + 1, which is the least for which two
+   sets of the threshold's similarity are sure to share a retained value.
+3. Inverted lists of the retained values generate the overlap of every two sketches: how many retained values they share, and how
+   far the last of them is from the end of either set. A list of a common value is split into blocks, so that no task holds it whole.
+4. The union of two sketches, up to the end of the one that ends first, is known in full. The similarity is estimated from it with
+   the most favourable rest: all that either set has left beyond is common. Pairs that can't reach the threshold so are dropped; the
+   estimate is never too low, so that no pair is lost.
+5. Exact Jaccard similarity of the full sets verifies the others.
 
 Defined results: records whose text is null or blank, or has fewer than w words, have an empty set and match nothing. Repeated rows
-of an id count once (the first delivery). Equal texts are similar with 1.0. Extra columns are ignored; an empty table gives an
-empty result. The result doesn't depend on the order of rows.
+of an id count once; where their texts differ, the one delivered first counts (ties go by the text's hash). Equal texts are similar
+with 1.0. Extra columns are ignored; an empty table gives an empty result. The result doesn't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -32,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.llm.deliveries import SMALL, first_deliveries
 from postsieve.session import cut_lineage, shared_dir
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -41,12 +41,13 @@ _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 @dataclass(frozen=True)
 class Settings:
     """words: length of a run. threshold: least similarity. bits: log2 of the greatest size of the count table; a smaller one
-    serves while values are few. block: records in a block of a split list."""
+    serves while values are few. block: records in a block of a split list. part: postings that a task works on at once."""
 
     words: int = 5
     threshold: float = 0.8
-    bits: int = 23
+    bits: int = 24
     block: int = 512
+    part: int = 500_000
 
 
 def hashed_words(text: str, known: dict[str, int]) -> np.ndarray:
@@ -93,12 +94,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
         return (values * _A) ^ ((values * _C) >> np.uint64(17))
 
 
-def parities(values: np.ndarray) -> bytes:
-    """512 bits: whether an odd number of the values falls to each."""
-    return np.packbits(np.bincount((mixed(values) >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
-
-
-_SETS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("print", pa.binary()), ("bits", pa.binary()), ("values", pa.binary())])
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("print", pa.binary()), ("values", pa.binary())])
 
 
 def _sets(settings: Settings):
@@ -106,12 +102,12 @@ def _sets(settings: Settings):
         known: dict[str, int] = {}
         for b in batches:
             rows: list[tuple] = []
-            for i, at, text in zip(*(c.to_pylist() for c in b.columns)):
+            for i, text in zip(*(c.to_pylist() for c in b.columns)):
                 s = runs(hashed_words(text, known), settings.words) if text else ()
                 if len(s):
                     raw = pack(s)
-                    rows.append((i, at, len(s), xxhash.xxh128_digest(raw), parities(s), raw))
-            cols = list(zip(*rows)) if rows else [()] * 6
+                    rows.append((i, len(s), xxhash.xxh128_digest(raw), raw))
+            cols = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETS)], schema=_SETS)
 
     return run
@@ -142,132 +138,237 @@ def _count(bits: int):
     return run
 
 
-def _add_counts(t: pa.Table) -> pa.Table:
-    total = 0
-    for x in t.column("counts").to_pylist():
-        total = total + np.frombuffer(zlib.decompress(x), dtype=np.uint32)
-    return pa.table({"chunk": t.column("chunk").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+def _add_counts(bits: int):
+    """The level of every bucket of a chunk, from its counts in all partitions; only levels go to the driver."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(min(_CHUNK, 1 << bits), dtype=np.uint64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint32)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([zlib.compress(levels(total, key[1].as_py()).tobytes(), 1)], pa.binary())})
+
+    return run
 
 
-def count_table(sets: DataFrame, bits: int) -> np.ndarray:
-    """How many records hold a value of each bucket; 2**bits numbers, whatever the size of the data."""
-    parts = sets.select("values").mapInArrow(_count(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
+def level_table(sets: DataFrame, bits: int, values: int) -> np.ndarray:
+    """The count level of each bucket of values; 2**bits bytes, whatever the size of the data."""
+    mean = max(1.0, values / (1 << bits))
+    counted = sets.select("values").mapInArrow(_count(bits), "chunk int, counts binary").withColumn("mean", F.lit(mean))
+    parts = counted.groupBy("chunk", "mean").applyInArrow(_add_counts(bits), "chunk int, levels binary").collect()
     width = min(_CHUNK, 1 << bits)
-    total = np.zeros(1 << bits, dtype=np.uint32)
+    out = np.zeros(1 << bits, dtype=np.int8)
     for r in parts:
-        total[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
-    return total
+        out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(zlib.decompress(r["levels"]), dtype=np.int8)
+    return out
+
+
+def _noise(mean: float) -> float:
+    return 3 * np.sqrt(mean) + 1
+
+
+def levels(counts: np.ndarray, mean: float) -> np.ndarray:
+    """Count level of every bucket: 0 as far as chance fills buckets, then one more for every doubling of what goes beyond."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(counts - mean, 1) / _noise(mean)))).astype(np.int8)
+
+
+def parts_of(level: np.ndarray, mean: float, block: int) -> np.ndarray:
+    """Into how many parts the list of a value of this level is split; at most 4,000, of larger blocks beyond."""
+    return np.where(level > 1, np.clip(np.ceil(_noise(mean) * np.exp2(level.astype(np.float64)) / block), 1, 4000), 1).astype(np.int64)
+
+
+# --- columns of numbers as one binary value: far smaller than rows of them ----------------------------------------------
+
+
+def encode(cols: list[np.ndarray], kinds: list[str]) -> bytes:
+    """Equally long columns, each split into the planes of its bytes, so that zeros lie together for the compression of the shuffle."""
+    return b"".join(np.ascontiguousarray(c.astype(k).view(np.uint8).reshape(len(c), -1).T).tobytes() for c, k in zip(cols, kinds))
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    """Count level of every bucket: 0 as far as chance fills buckets, then one more for every doubling."""
-    mean = max(1.0, float(counts.mean()))
-    return np.maximum(0, np.ceil(np.log2(np.maximum(counts, 1) / (mean + 3 * np.sqrt(mean))))).astype(np.int8)
+def decode(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
+    width = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(width), 0, []
+    for k, w in zip(kinds, width):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=n * w, offset=at).reshape(w, n).T).view(k).ravel())
+        at += n * w
+    return out
+
+
+_BLOBS = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+
+
+def _blobs(part: np.ndarray, cols: list[np.ndarray], kinds: list[str]) -> pa.RecordBatch:
+    """Rows (part, columns of that part)."""
+    order = np.argsort(part, kind="stable")
+    part, cols = part[order], [c[order] for c in cols]
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(part)]
+    data = [encode([c[a:z] for c in cols], kinds) for a, z in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(data, pa.binary())], schema=_BLOBS)
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], kinds: list[str], squeeze=None, most: int = 4_000_000) -> Iterator[list[np.ndarray]]:
+    """The columns of each part, from rows sorted by part; squeeze shortens what is held, whenever it exceeds `most`."""
+    now, held, n = None, [], 0
+
+    def whole() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held)] if len(held) > 1 else held[0]
 
+    for b in batches:
+        for part, raw in zip(b.column("part").to_pylist(), b.column("data").to_pylist()):
+            if part != now and held:
+                yield whole()
+                held, n = [], 0
+            now = part
+            held.append(decode(raw, kinds))
+            n += len(held[-1][0])
+            if squeeze and n > most:
+                held = [squeeze(whole())]
+                n = len(held[0][0])
+                most = max(most, 2 * n)
+    if held:
+        yield whole()
 
-_POSTINGS = pa.schema([("value", pa.int64()), ("block", pa.int32()), ("side", pa.int8()), ("id", pa.int64()), ("n", pa.int32()), ("rest", pa.int32())])
+
+def _spread_over(x: np.ndarray, parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = x.astype(np.uint64) * _A
+        h ^= h >> np.uint64(31)
+        return ((h * _B) >> np.uint64(33)).astype(np.int64) % parts
+
+
+#: value and block in one number, side, id, size of the set, how many of its values are left from this one on.
+_POSTING = ["<u8", "u1", "<i8", "<u4", "<u4"]
 #: Sides of a block: the two parts of a split list, or one list or part whose own pairs are wanted.
 _LEFT, _RIGHT, _WHOLE = 0, 1, 2
 
 
-def _postings(held, settings: Settings):
-    """Prefix values of every record, each with the size of the set and how many of its values are left from there on. The list of a value
+def _postings(held, settings: Settings, mean: float, spread: int):
+    """Retained values of every record, each with the size of the set and how many of its values are left from there on. The list of a value
     that is more common than a block holds is split into parts; a record in part p goes to the block of each pair of parts that holds p, and
     block p:p forms the pairs within p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = held.value[1]
+        level = held.value
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for i, n, raw in zip(*(b.column(c).to_pylist() for c in ("id", "n", "values"))):
-                v = unpack(raw)
-                many, rest = parts[_bucket(v, settings.bits)].astype(np.int64), n - np.arange(len(v))
-                wide = many > 1
-                if wide.any():
-                    for x, s, left in zip(v[wide], many[wide], rest[wide]):
-                        p = xxhash.xxh32_intdigest(int(i).to_bytes(8, "little", signed=True)) % int(s)
-                        q = np.arange(s)
-                        side = np.where(q == p, _WHOLE, np.where(q < p, _RIGHT, _LEFT))
-                        for col, val in zip(out, (np.full(s, x), np.minimum(p, q) * s + np.maximum(p, q), side, np.full(s, i), np.full(s, n), np.full(s, left))):
-                            col.append(val)
-                    v, rest = v[~wide], rest[~wide]
-                for col, val in zip(out, (v, np.zeros(len(v)), np.full(len(v), _WHOLE), np.full(len(v), i), np.full(len(v), n), rest)):
-                    col.append(val)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(out, _POSTINGS)], schema=_POSTINGS)
+            if not b.num_rows:
+                continue
+            ids, n = b.column("id").to_numpy(), b.column("n").to_numpy().astype(np.int64)
+            raw = b.column("values").to_pylist()
+            v = unpack(b"".join(raw))
+            many = np.array([len(x) // 5 for x in raw])
+            row = np.repeat(np.arange(len(raw)), many)
+            place = np.arange(len(v)) - np.repeat(np.cumsum(many) - many, many)
+            i, size = ids[row], n[row]
+            rest = size - place
+            parts = parts_of(level[_bucket(v, settings.bits)], mean, settings.block)
+            wide = np.flatnonzero(parts > 1)
+            cols = [v, np.full(len(v), _WHOLE, dtype=np.uint8), i, size, rest]
+            if len(wide):
+                one = parts == 1
+                cols = [c[one] for c in cols]
+                s = parts[wide]
+                p = _spread_over(i[wide], 1 << 30) % s
+                at = np.repeat(np.arange(len(wide)), s)
+                q = np.arange(len(at)) - np.repeat(np.cumsum(s) - s, s)
+                p, s = p[at], s[at]
+                # the block p:q is numbered within 23 bits: 4,000 parts have 8,002,000 pairs
+                lo, hi = np.minimum(p, q), np.maximum(p, q)
+                block = hi * (hi + 1) // 2 + lo
+                more = [v[wide][at] | (block.astype(np.uint64) << np.uint64(40)), np.where(q == p, _WHOLE, np.where(q < p, _RIGHT, _LEFT)).astype(np.uint8), i[wide][at], size[wide][at], rest[wide][at]]
+                cols = [np.concatenate([a, m]) for a, m in zip(cols, more)]
+            for a in range(0, len(cols[0]), 8_000_000):
+                some = [c[a : a + 8_000_000] for c in cols]
+                yield _blobs(_spread_over(some[0], spread), some, _POSTING)
 
     return run
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: a < b, their sizes, shared retained values, values left of either from the last shared one on.
+_OVERLAP = ["<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "<u4"]
+
+
+def _summed(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for each pair: shared values added up, and the least of what is left."""
+    order = np.lexsort((cols[1], cols[0]))
+    a, b, na, nb, o, ra, rb = (c[order] for c in cols)
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return [a[first], b[first], na[first], nb[first], np.add.reduceat(o, first), np.minimum.reduceat(ra, first), np.minimum.reduceat(rb, first)]
 
 
-def _lists(settings: Settings):
-    """Pairs of records that share a value from which both go on long enough, from postings sorted by (value, block)."""
+def _lists(settings: Settings, spread: int):
+    """Overlaps of pairs of records that share a retained value, from the postings of a part."""
     share = settings.threshold / (1 + settings.threshold)
 
-    def batch(got: list[tuple]) -> pa.RecordBatch:
-        a, b = (np.concatenate([g[c] for g in got]) for c in (0, 1))
-        ok = a != b
-        a, b = a[ok], b[ok]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=_PAIRS)
-
-    def out(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        value, block, side, i, n, rest = cols
-        n = n.astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (block[1:] != block[:-1])])
-        size = np.diff(np.r_[starts, len(value)])
-        two = starts[size == 2]
-        two = two[(side[two] == _WHOLE) | (side[two] != side[two + 1])]
-        two = two[np.minimum(rest[two], rest[two + 1]) >= share * (n[two] + n[two + 1]) - 1e-6]
-        got, held = [(i[two], i[two + 1])], len(two)  # most lists: done at once
-        for a, m in zip(starts[size > 2], size[size > 2]):
-            at = np.arange(a, a + m)
-            whole, right = side[a] == _WHOLE, at[side[at] == _RIGHT]
-            at = at[np.argsort(n[at], kind="stable")] if whole else at[side[at] != _RIGHT]
-            early = rest[at] >= 2 * share * n[at] - 1e-6  # the smaller set of a pair has the value this early
-            for k in np.flatnonzero(early) if whole else range(len(at)):
-                x, others = at[k], at[k + 1 :] if whole else right
-                others = others[np.minimum(rest[others], rest[x]) >= share * (n[others] + n[x]) - 1e-6]
+    def pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of the two postings of every pair of every list."""
+        key, side, n = cols[0], cols[1], cols[3]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[starts, len(key)])
+        plain = (size > 1) & (size <= 256) & (side[starts] == _WHOLE)
+        at = np.repeat(starts[plain], size[plain]) + np.arange(int(size[plain].sum())) - np.repeat(np.cumsum(size[plain]) - size[plain], size[plain])
+        end = np.repeat((starts + size)[plain], size[plain])
+        step = 1
+        while len(at):  # the posting `step` places on, in all lists at once
+            ok = at + step < end
+            at, end = at[ok], end[ok]
+            if len(at):
+                yield at, at + step
+            step += 1
+        for a, m in zip(starts[(size > 1) & ~plain], size[(size > 1) & ~plain]):
+            here = np.arange(a, a + m)
+            here = here[np.argsort(n[here], kind="stable")]
+            whole = side[a] == _WHOLE
+            left, right = (here, here) if whole else (here[side[here] == _LEFT], here[side[here] == _RIGHT])
+            for k, x in enumerate(left):  # only sets of a size that the threshold allows
+                others = right[k + 1 :] if whole else right
+                others = others[np.searchsorted(n[others], settings.threshold * n[x] - 1e-6) : np.searchsorted(n[others], n[x] / settings.threshold + 1e-6, "right")]
                 if len(others):
-                    got.append((np.full(len(others), i[x]), i[others]))
-                    held += len(others)
-                if held > 50_000:
-                    yield batch(got)
-                    got, held = [], 0
-        if got:
-            yield batch(got)
+                    yield np.full(len(others), x), others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in _POSTINGS.names]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield from out([c[:cut] for c in cols])
-        if rest is not None and len(rest[0]):
-            yield from out(rest)
+        for cols in _by_part(batches, _POSTING):
+            order = np.argsort(cols[0], kind="stable")
+            key, side, i, n, rest = cols = [c[order] for c in cols]
+            got, held = [], 0
+            for x, y in pairs(cols):
+                # what comes before a shared value and what is left from it on can be common, in the smaller of both at most
+                before, after = np.minimum(n[x] - rest[x], n[y] - rest[y]), np.minimum(rest[x], rest[y])
+                ok = (before.astype(np.int64) + after >= share * (n[x].astype(np.int64) + n[y]) - 1e-6) & (i[x] != i[y])
+                x, y = x[ok], y[ok]
+                if not len(x):
+                    continue
+                x, y = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)
+                got.append([i[x], i[y], n[x], n[y], np.ones(len(x), dtype=np.uint32), rest[x], rest[y]])
+                held += len(x)
+                if held > 1_000_000:
+                    some = _summed([np.concatenate(c) for c in zip(*got)])
+                    yield _blobs(_spread_over(some[0] ^ (some[1] << 20), spread), some, _OVERLAP)
+                    got, held = [], 0
+            if got:
+                some = _summed([np.concatenate(c) for c in zip(*got)])
+                yield _blobs(_spread_over(some[0] ^ (some[1] << 20), spread), some, _OVERLAP)
 
     return run
 
 
-def _near(settings: Settings):
-    """Pairs whose parities leave room for the similarity."""
-    share = settings.threshold / (1 + settings.threshold)
+def at_most(na: np.ndarray, nb: np.ndarray, o: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> np.ndarray:
+    """The greatest similarity that the union of two sketches leaves open. na, nb: sizes of the sets. o: retained values that they share.
+    ra, rb: values of each from the last shared one on."""
+    na, nb, o, ra, rb = (x.astype(np.int64) for x in (na, nb, o, ra, rb))
+    beyond = lambda n: np.ceil(threshold * n - 1e-9).astype(np.int64) - 1  # values that the sketch doesn't hold
+    # whichever sketch ends first holds all its share of what lies before its end
+    common = o + np.maximum(np.minimum(beyond(na), rb - 1), np.minimum(beyond(nb), ra - 1))
+    common = np.minimum(common, np.minimum(na, nb))
+    return common / (na + nb - common)
+
+
+def _estimate(settings: Settings):
+    """Pairs whose union sketch leaves the threshold open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 64) for c in ("bits_a", "bits_b"))
-                both = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
-                ok = (both - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)) / 2 >= share * both - 1e-6
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+        for cols in _by_part(batches, _OVERLAP, _summed):
+            a, b, na, nb, o, ra, rb = _summed(cols)
+            ok = at_most(na, nb, o, ra, rb, settings.threshold) >= settings.threshold - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     return run
 
@@ -290,6 +391,23 @@ def _verify(settings: Settings):
     return run
 
 
+def _sketch(held, settings: Settings):
+    """The bottom k of a record's values in the one order, in place of all."""
+    schema = pa.schema([("id", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("values", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = held.value
+        for b in batches:
+            small = []
+            for raw in b.column("values").to_pylist():
+                v = unpack(raw)
+                k = len(v) - int(np.ceil(settings.threshold * len(v) - 1e-9)) + 1
+                small.append(pack(v[np.lexsort((mixed(v), level[_bucket(v, settings.bits)]))[:k]]))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("print"), b.column("n"), pa.array(small, pa.binary())], schema=schema)
+
+    return run
+
+
 def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """df(id, text, loaded_at) -> (links, members).
 
@@ -298,53 +416,38 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/neardup-{uuid.uuid4().hex}"
-    made = df.where("id is not null and text is not null").select(F.col("id").cast("long"), F.unix_micros(F.col("loaded_at").cast("timestamp")), "text").mapInArrow(
-        _sets(settings), "id long, at long, n int, print binary, bits binary, values binary"
-    )
-    made.write.parquet(f"{folder}/sets")  # read three times below
+    rows = first_deliveries(df.where("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text", "loaded_at"), "id", "text")
+    rows.select("id", "text").mapInArrow(_sets(settings), "id long, n int, print binary, values binary").write.parquet(f"{folder}/sets")  # read several times below
     sets = spark.read.parquet(f"{folder}/sets")
-    # one delivery of each id, one id of each class; only narrow columns are shuffled
-    one = sets.groupBy("id").agg(F.min(F.struct("at", "print", "n")).alias("m")).select("id", F.col("m.print").alias("print"))
-    classes = one.groupBy("print").agg(F.min("id").alias("rep"))
-    members = one.join(classes, "print").select("id", "rep")
-    values = sets.agg(F.sum("n")).first()[0] or 0
+    members = sets.select("id", "print").distinct()
+    members = members.join(members.groupBy("print").agg(F.min("id").alias("rep")), "print").select("id", "rep")
+    values = int(sets.agg(F.sum("n")).first()[0] or 0)
     settings = replace(settings, bits=int(min(settings.bits, max(10, np.ceil(np.log2(max(1, values) / 12))))))
-    counts = count_table(sets, settings.bits)
-    level = levels(counts)
-    parts = np.minimum(32767, np.maximum(1, -(-np.where(level > 1, counts.astype(np.int64), 0) // settings.block))).astype(np.int16)
-    held = spark.sparkContext.broadcast((level, parts))  # two tables of 2**bits numbers
-    prefix = sets.select("id", "print", "n", "values").mapInArrow(_prefix(held, settings), "id long, print binary, n int, values binary")
-    # of a class, and of an id delivered again, only one prefix stays
-    reps = prefix.groupBy("print").agg(F.min(F.struct("id", "n", "values")).alias("m")).select("m.id", "m.n", "m.values")
-    posted = reps.mapInArrow(_postings(held, settings), "value long, block int, side tinyint, id long, n int, rest int")
-    pairs = posted.repartition("value", "block").sortWithinPartitions("value", "block").mapInArrow(_lists(settings), "a long, b long")
-    likely = cut_lineage(pairs.distinct())
-    bits = sets.select("id", "n", "bits").dropDuplicates(["id"])
-    side = [bits.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
-    likely = cut_lineage(likely.join(side[0], "a").join(side[1], "b").mapInArrow(_near(settings), "a long, b long"))
+    mean = max(1.0, values / (1 << settings.bits))
+    held = spark.sparkContext.broadcast(level_table(sets, settings.bits, values))  # 2**bits bytes
+    sketches = sets.select("id", "print", "n", "values").mapInArrow(_sketch(held, settings), "id long, print binary, n int, values binary")
+    reps = sketches.groupBy("print").agg(F.min(F.struct("id", "n", "values")).alias("m")).select("m.id", "m.n", "m.values")
+    spread = int(min(1 << 20, max(1, -(-values * (1 - settings.threshold) // settings.part))))
+    blobs, by_part = "part int, data binary", lambda d: d.repartition("part").sortWithinPartitions("part")
+    posted = by_part(reps.mapInArrow(_postings(held, settings, mean, spread), blobs))
+    shared = by_part(posted.mapInArrow(_lists(settings, min(1 << 20, 16 * spread)), blobs))
+    likely = cut_lineage(shared.mapInArrow(_estimate(settings), "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
+    wanted = F.broadcast(wanted) if 2 * likely.count() <= SMALL else wanted  # else both sides are shuffled
     full = sets.select("id", "values").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     both = likely.join(full.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(full.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
     links = both.select("a", "b", "va", "vb").mapInArrow(_verify(settings), "a long, b long, similarity double")
     return links, members
 
 
-def _prefix(held, settings: Settings):
-    """The first values of a record in the one order, in place of all."""
-    schema = pa.schema([("id", pa.int64()), ("print", pa.binary()), ("n", pa.int32()), ("values", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = held.value[0]
-        for b in batches:
-            small = []
-            for raw in b.column("values").to_pylist():
-                v = unpack(raw)
-                m = mixed(v)
-                first = np.lexsort((m, level[_bucket(v, settings.bits)]))[: len(v) - int(np.ceil(settings.threshold * len(v) - 1e-9)) + 1]
-                small.append(pack(v[first]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("print"), b.column("n"), pa.array(small, pa.binary())], schema=schema)
-
-    return run
+def _within(members: DataFrame, block: int = 1000) -> DataFrame:
+    """(x, y) with x < y of each two members of a class. A large class is split into parts by the hash of its ids: every member meets each part
+    under a key of its own."""
+    large = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    some = members.join(large, "rep").select("rep", "id", "parts")
+    left = some.select("rep", F.col("id").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    right = some.select("rep", F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("p"))
+    return left.join(right, ["rep", "p"]).where("x < y").select("x", "y")
 
 
 def pairs_of(df: DataFrame, settings: Settings) -> DataFrame:
@@ -353,18 +456,17 @@ def pairs_of(df: DataFrame, settings: Settings) -> DataFrame:
     members = cut_lineage(members)
     a, b = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = links.join(a, "a").join(b, "b").select("x", "y")
-    twins = members.groupBy("rep").count().where("count > 1").select("rep")
-    inside = a.join(twins, F.col("a") == F.col("rep"), "left_semi").join(b, F.col("a") == F.col("b")).where("x < y").select("x", "y")
-    return across.union(inside).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return across.union(_within(members)).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def groups_of(df: DataFrame, settings: Settings, rounds: int | None = None) -> DataFrame:
-    """(id, group_id, links): the group of every record with a set, named by its least id, and its number of similar texts.
+    """(id, group_id, links): the group of every record with a set, named by its least id, and to how many other records it is similar.
 
     Groups are the components over class representatives: least ids spread along links and through shortcuts until
     nothing changes; an error tells if that takes more than `rounds`. Each round is cut by a checkpoint; nothing is gathered on the driver but one number.
     """
     links, members = similar(df, settings)
+    members = cut_lineage(members)
     links = cut_lineage(links.select("a", "b"))
     both = cut_lineage(links.union(links.select(F.col("b"), F.col("a"))))
     label = cut_lineage(both.select(F.col("a").alias("v")).distinct().withColumn("g", F.col("v")))
@@ -378,9 +480,10 @@ def groups_of(df: DataFrame, settings: Settings, rounds: int | None = None) -> D
         if done == rounds:
             raise RuntimeError(f"groups still change after {rounds} rounds")
         label = label.select("v", "g")
-    degree = both.groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"))
-    named = members.join(label.select(F.col("v").alias("rep"), "g"), "rep", "left").join(degree, "rep", "left")
-    return named.select("id", F.coalesce("g", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    size = cut_lineage(members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")))
+    degree = both.join(size.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    named = members.join(label.select(F.col("v").alias("rep"), "g"), "rep", "left").join(degree, "rep", "left").join(size, "rep")
+    return named.select("id", F.coalesce("g", "rep").alias("group_id"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"))
 
 
 #: What TESTDATA.md states for mails: runs of three words, similarity 0.6.
@@ -399,4 +502,4 @@ def groups(mail: DataFrame) -> DataFrame:
     return groups_of(mail_text(mail), MAIL)
 
 
-__all__ = ["MAIL", "Settings", "found", "groups", "groups_of", "pairs_of", "similar"]
+__all__ = ["MAIL", "Settings", "at_most", "found", "groups", "groups_of", "pairs_of", "similar"]

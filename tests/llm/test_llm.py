@@ -173,6 +173,41 @@ def test_near_duplicates_of_a_hot_template_extended_by_rare_words(spark):
         assert {tuple(r) for r in neardup.pairs_of(df, neardup.Settings(words=3, threshold=0.6, block=block)).collect()} == want
 
 
+def test_redelivered_id_with_another_text(spark):
+    """Only the first delivery of an id counts, in classes, sketches and full sets alike."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    later = dt.datetime(2024, 2, 1)
+    rows = [(1, a, AT), (1, b, later), (5, b, AT), (9, b + " more words", AT), (5, b, later), (7, b, None), (7, a, AT), (8, a, later)]
+    df = spark.createDataFrame(rows, "id long, text string, loaded_at timestamp")
+    want = {(5, 9), (5, 7), (7, 9), (1, 8)}
+    assert {tuple(r) for r in neardup.pairs_of(df, neardup.MAIL).collect()} == want
+    got = {r["id"]: (r["group_id"], r["links"]) for r in neardup.groups_of(df, neardup.MAIL).collect()}
+    assert got == {1: (1, 1), 8: (1, 1), 5: (5, 2), 7: (5, 2), 9: (5, 2)}
+
+
+def test_a_class_of_many_copies(spark):
+    """Copies of one text meet in blocks; every pair comes out once."""
+    members = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(1, 400)] + [(0, 0)], "id long, rep long")
+    got = [tuple(r) for r in neardup._within(members, block=50).collect()]
+    copies = [0, *(i for i in range(1, 400) if i % 3)]
+    assert len(got) == len(set(got)) == len(copies) * (len(copies) - 1) // 2
+
+
+def test_estimate_is_never_too_low():
+    """The similarity that a union sketch leaves open is at least that of the full sets, for any order of values."""
+    rng = random.Random(3)
+    for _ in range(2000):
+        t, n = rng.choice((0.5, 0.6, 0.8)), rng.randint(2, 30)
+        x, y = set(rng.sample(range(40), rng.randint(1, n))), set(rng.sample(range(40), rng.randint(1, n)))
+        k = lambda s: sorted(s)[: len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1]
+        both = set(k(x)) & set(k(y))
+        true = len(x & y) / len(x | y)
+        if true >= t:
+            assert both
+            left = lambda s: len(s) - sorted(s).index(max(both))
+            assert neardup.at_most(*(np.array([v]) for v in (len(x), len(y), len(both), left(x), left(y))), t)[0] >= true - 1e-9
+
+
 def test_groups_are_not_cut_short(spark):
     rows = [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 100)), AT) for i in range(12)]
     df = spark.createDataFrame(rows, "id long, text string, loaded_at timestamp")
