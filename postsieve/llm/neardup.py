@@ -4,10 +4,10 @@
 2. One hash function orders all values, within their count level: values that boilerplate repeats have high levels and come last. The
    sketch of a set of n values is its bottom k in this order, with k = n - ceil(threshold * n) + 1, which is the least for which two
    sets of the threshold's similarity are sure to share a retained value.
-3. Inverted lists of the retained values generate the overlap of every two sketches: how many retained values they share, and how
-   far the last of them is from the end of either set. A list of a common value is split into blocks, so that no task holds it whole.
+3. Inverted lists of the retained values generate the overlap of every two sketches, each taken as far as the sizes of the two sets
+   ask for. A list of a common value is split into blocks, so that no task holds it whole.
 4. The union of two sketches, up to the end of the one that ends first, is known in full. The similarity is estimated from it with
-   the most favourable rest: all that either set has left beyond is common. Pairs that can't reach the threshold so are dropped; the
+   the most favourable rest: all that the sets have left beyond is common. Pairs that can't reach the threshold so are dropped; the
    estimate is never too low, so that no pair is lost.
 5. Exact Jaccard similarity of the full sets verifies the others.
 
@@ -41,13 +41,15 @@ _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 @dataclass(frozen=True)
 class Settings:
     """words: length of a run. threshold: least similarity. bits: log2 of the greatest size of the count table; a smaller one
-    serves while values are few. block: records in a block of a split list. part: postings that a task works on at once."""
+    serves while values are few. block: records in a block of a split list. part: postings that a task works on at once. extra: how
+    many more values a sketch is read for than would find a pair, as a share of the common part it must have; each must then be shared."""
 
     words: int = 5
     threshold: float = 0.8
     bits: int = 24
     block: int = 512
     part: int = 500_000
+    extra: float = 0.05
 
 
 def hashed_words(text: str, known: dict[str, int]) -> np.ndarray:
@@ -282,22 +284,38 @@ def _postings(held, settings: Settings, mean: float, spread: int):
     return run
 
 
-#: a < b, their sizes, shared retained values, values left of either from the last shared one on.
-_OVERLAP = ["<i8", "<i8", "<u4", "<u4", "<u4", "<u4", "<u4"]
+#: a < b, retained values that they share, and how many they must.
+_OVERLAP = ["<i8", "<i8", "<u2", "<u2"]
+_MOST = 65_535
+
+
+def must_share(na: np.ndarray, nb: np.ndarray, threshold: float, extra: float) -> tuple[np.ndarray, np.ndarray]:
+    """(common, c) for sets of these sizes: common values that the threshold asks for, and how many of them must be among the first
+    n - common + c values of both."""
+    both = na.astype(np.int64) + nb
+    common = np.ceil(threshold / (1 + threshold) * both - 1e-6).astype(np.int64)
+    held = common - np.ceil(threshold * np.maximum(na, nb) - 1e-9).astype(np.int64) + 1  # as far as the sketches go
+    return common, np.clip(np.minimum(1 + np.floor(extra * common).astype(np.int64), held), 1, _MOST)
+
+
+def at_most(na: np.ndarray, nb: np.ndarray, o: np.ndarray, threshold: float, extra: float) -> np.ndarray:
+    """The greatest similarity that the union of two sketches leaves open, with o values common to both: whichever sketch ends first
+    shows all common values up to its end, and what its set has left beyond is common at most."""
+    common, c = must_share(na, nb, threshold, extra)
+    most = np.minimum(o + common - c, np.minimum(na, nb))
+    return most / (na + nb - most)
 
 
 def _summed(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """One row for each pair: shared values added up, and the least of what is left."""
+    """One row for each pair, its shared values added up."""
     order = np.lexsort((cols[1], cols[0]))
-    a, b, na, nb, o, ra, rb = (c[order] for c in cols)
+    a, b, o, c = (x[order] for x in cols)
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return [a[first], b[first], na[first], nb[first], np.add.reduceat(o, first), np.minimum.reduceat(ra, first), np.minimum.reduceat(rb, first)]
+    return [a[first], b[first], np.minimum(np.add.reduceat(o.astype(np.int64), first), _MOST).astype(np.uint16), c[first]]
 
 
 def _lists(settings: Settings, spread: int):
     """Overlaps of pairs of records that share a retained value, from the postings of a part."""
-    share = settings.threshold / (1 + settings.threshold)
-
     def pairs(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places of the two postings of every pair of every list."""
         key, side, n = cols[0], cols[1], cols[3]
@@ -330,47 +348,28 @@ def _lists(settings: Settings, spread: int):
             key, side, i, n, rest = cols = [c[order] for c in cols]
             got, held = [], 0
             for x, y in pairs(cols):
-                # what comes before a shared value and what is left from it on can be common, in the smaller of both at most
-                before, after = np.minimum(n[x] - rest[x], n[y] - rest[y]), np.minimum(rest[x], rest[y])
-                ok = (before.astype(np.int64) + after >= share * (n[x].astype(np.int64) + n[y]) - 1e-6) & (i[x] != i[y])
-                x, y = x[ok], y[ok]
-                if not len(x):
-                    continue
-                x, y = np.where(i[x] < i[y], x, y), np.where(i[x] < i[y], y, x)
-                got.append([i[x], i[y], n[x], n[y], np.ones(len(x), dtype=np.uint32), rest[x], rest[y]])
+                common, c = must_share(n[x], n[y], settings.threshold, settings.extra)
+                ok = (np.minimum(rest[x], rest[y]) > common - c) & (np.minimum(n[x], n[y]) >= settings.threshold * np.maximum(n[x], n[y]) - 1e-6) & (i[x] != i[y])
+                x, y, c = i[x[ok]], i[y[ok]], c[ok]
+                got.append([np.minimum(x, y), np.maximum(x, y), np.ones(len(x), dtype=np.uint16), c.astype(np.uint16)])
                 held += len(x)
                 if held > 1_000_000:
-                    some = _summed([np.concatenate(c) for c in zip(*got)])
+                    some = _summed([np.concatenate(g) for g in zip(*got)])
                     yield _blobs(_spread_over(some[0] ^ (some[1] << 20), spread), some, _OVERLAP)
                     got, held = [], 0
-            if got:
-                some = _summed([np.concatenate(c) for c in zip(*got)])
+            if held:
+                some = _summed([np.concatenate(g) for g in zip(*got)])
                 yield _blobs(_spread_over(some[0] ^ (some[1] << 20), spread), some, _OVERLAP)
 
     return run
 
 
-def at_most(na: np.ndarray, nb: np.ndarray, o: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float) -> np.ndarray:
-    """The greatest similarity that the union of two sketches leaves open. na, nb: sizes of the sets. o: retained values that they share.
-    ra, rb: values of each from the last shared one on."""
-    na, nb, o, ra, rb = (x.astype(np.int64) for x in (na, nb, o, ra, rb))
-    beyond = lambda n: np.ceil(threshold * n - 1e-9).astype(np.int64) - 1  # values that the sketch doesn't hold
-    # whichever sketch ends first holds all its share of what lies before its end
-    common = o + np.maximum(np.minimum(beyond(na), rb - 1), np.minimum(beyond(nb), ra - 1))
-    common = np.minimum(common, np.minimum(na, nb))
-    return common / (na + nb - common)
-
-
-def _estimate(settings: Settings):
+def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose union sketch leaves the threshold open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _by_part(batches, _OVERLAP, _summed):
-            a, b, na, nb, o, ra, rb = _summed(cols)
-            ok = at_most(na, nb, o, ra, rb, settings.threshold) >= settings.threshold - 1e-9
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
-
-    return run
+    for cols in _by_part(batches, _OVERLAP, _summed):
+        a, b, o, c = _summed(cols)
+        ok = o >= c  # just then at_most() reaches the threshold
+        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
 
 def _verify(settings: Settings):
@@ -431,7 +430,7 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     blobs, by_part = "part int, data binary", lambda d: d.repartition("part").sortWithinPartitions("part")
     posted = by_part(reps.mapInArrow(_postings(held, settings, mean, spread), blobs))
     shared = by_part(posted.mapInArrow(_lists(settings, min(1 << 20, 16 * spread)), blobs))
-    likely = cut_lineage(shared.mapInArrow(_estimate(settings), "a long, b long"))
+    likely = cut_lineage(shared.mapInArrow(_estimate, "a long, b long"))
     wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
     wanted = F.broadcast(wanted) if 2 * likely.count() <= SMALL else wanted  # else both sides are shuffled
     full = sets.select("id", "values").join(wanted, "id", "left_semi").dropDuplicates(["id"])

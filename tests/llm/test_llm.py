@@ -196,16 +196,23 @@ def test_a_class_of_many_copies(spark):
 def test_estimate_is_never_too_low():
     """The similarity that a union sketch leaves open is at least that of the full sets, for any order of values."""
     rng = random.Random(3)
-    for _ in range(2000):
-        t, n = rng.choice((0.5, 0.6, 0.8)), rng.randint(2, 30)
-        x, y = set(rng.sample(range(40), rng.randint(1, n))), set(rng.sample(range(40), rng.randint(1, n)))
-        k = lambda s: sorted(s)[: len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1]
-        both = set(k(x)) & set(k(y))
-        true = len(x & y) / len(x | y)
+    kept = 0
+    for _ in range(4000):
+        t, n, extra = rng.choice((0.5, 0.6, 0.8)), rng.randint(2, 30), rng.choice((0, 0.05, 0.2, 1.0))
+        x = sorted(rng.sample(range(60), n))
+        y = sorted(({*x} | {*rng.sample(range(60), rng.randint(0, 6))}) - {*rng.sample(x, rng.randint(0, n // 2))})
+        na, nb = np.array([len(x)]), np.array([len(y)])
+        common, c = (int(v[0]) for v in neardup.must_share(na, nb, t, extra))
+        zone = lambda s: set(s[: max(0, len(s) - common + c)])
+        bottom = lambda s: len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1
+        o, true = len(zone(x) & zone(y)), len(set(x) & set(y)) / len(set(x) | set(y))
         if true >= t:
-            assert both
-            left = lambda s: len(s) - sorted(s).index(max(both))
-            assert neardup.at_most(*(np.array([v]) for v in (len(x), len(y), len(both), left(x), left(y))), t)[0] >= true - 1e-9
+            kept += 1
+            assert o >= c >= 1 and neardup.at_most(na, nb, np.array([o]), t, extra)[0] >= true - 1e-9
+            assert max(len(zone(x)) - bottom(x), len(zone(y)) - bottom(y)) <= 0  # within the bottom k
+        if min(na, nb) >= t * max(na, nb):
+            assert (o >= c) == (neardup.at_most(na, nb, np.array([o]), t, extra)[0] >= t - 1e-9) or o + common - c > min(na, nb)
+    assert kept > 1000
 
 
 def test_groups_are_not_cut_short(spark):
