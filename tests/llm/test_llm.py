@@ -319,13 +319,44 @@ def test_endings():
         assert not truncated.ends_inside(whole), whole
 
 
-def test_prefixes_over_sorted_partitions(spark):
+DOCS = "doc_id long, text string, source string, body string, size int, hashes array<long>, whole binary"
+
+
+def test_prefixes(spark):
     full = "This ruling has many words, and it goes on for long. The order is given in Court\nJohn Smith Registrar"
-    rows = [(k, full[:n] if n else full, "s", "clash") for k, n in enumerate([0, 0, 40, 90, 94, 52])] + [(50, None, "s", ""), (51, "", None, "")]
-    rows += [(100 + k, f"Other text number {k} is complete.", "t", "") for k in range(60)]
-    v = {r["doc_id"]: r for r in truncated.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string, body string")).collect()}
-    assert len(v) == 66 and {k for k, r in v.items() if r["prefix"]} == {2, 3, 4}
-    assert truncated.shares(spark.createDataFrame(rows, "doc_id long, text string, source string, body string")).where("source = 't'").first()["cut"] == 0
+    rows = [(k, full[:n] if n else full, "s") for k, n in enumerate([0, 0, 40, 90, 94, 52])] + [(50, None, "s"), (51, "", None), (52, "This", "s")]
+    rows += [(100 + k, f"Other text number {k} is complete.", "t") for k in range(60)]
+    docs = spark.createDataFrame([(*r, "clash", 1, [1], b"") for r in rows], DOCS)
+    v = {r["doc_id"]: r for r in truncated.verdicts(docs).collect()}
+    # 4 ends with "John " where a new line began; 5 ends a sentence
+    assert len(v) == 67 and {k for k, r in v.items() if r["prefix"]} == {2, 3, 4}
+    assert truncated.shares(docs).where("source = 't'").first()["cut"] == 0
+
+
+def test_prefixes_normalised(spark):
+    """Paragraph numbers, page heads, line breaks and case don't keep a copy from being found; a line that ends with its copy's is no evidence."""
+    rows = [(1, "1. The claim was held to be out of ti", "a"), (2, "[7] THE CLAIM\nwas held\nCourt of X — 3 LB 38/2016 — Page 3\nto be out of time, and so on.", "b"), (3, "It ends here.\n\nMaren Holt\n", "a"), (4, "It ends here.\n\nMaren Holt\nAddendum of another day.", "b")]
+    v = {r["doc_id"]: r["prefix"] for r in truncated.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert v == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_prefixes_with_a_hot_group_against_brute_force(spark):
+    """A third of the rows are copies of one cut text, and many cuts of one long text lie within one fixed length."""
+    rng = random.Random(9)
+    words = [rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(900)]
+    long = " ".join(words) + "."
+    hot = long[:701]
+    rows = [(k, hot, "s") for k in range(5000)] + [(5000, long, "t")] + [(6000 + k, long[: 300 + k], "u") for k in range(300)] + [(7000 + k, f"{k} " + long, "w") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = {r["doc_id"]: r["prefix"] for r in truncated.verdicts(docs).collect()}
+    texts = {k: t.strip() for k, t, _ in rows}
+    different = set(texts.values())
+    cut = {t: any(len(x) > len(t) and x.startswith(t) for x in different) for t in different}
+    assert got == {k: cut[t] for k, t in texts.items()} and sum(got.values()) > 5200
+
+
+def test_marks_behind_a_cut_of_any_length():
+    assert truncated.strip_marks("the bur" + "… " * 200) == "the bur" and truncated.ends_inside("It was so. The bur" + "." * 900)
 
 
 # odd input for all of them
