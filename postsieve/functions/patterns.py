@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,11 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", _BOUNDARY)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(java(pattern)), F.lit(False))
 

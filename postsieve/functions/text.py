@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postsieve.functions.patterns import java
-from postsieve.lookups import LANGUAGE_CODES, STOP_WORDS
+from postsieve.functions.patterns import java, let
+from postsieve.lookups import BASIC_REPLACEMENTS, LANGUAGE_CODES, REPLACEMENT_WORDS, STOP_LISTS, STOP_WORDS
 
 #: Pattern tags in the order they apply; patterns are ASCII.
 TAGS = [
@@ -16,8 +17,8 @@ TAGS = [
     ("CREDIT_CARD", r"\b(?:\d{4}[ -]?){3}\d{4}\b"),
     ("PHONE_NUMBER", r"\b\d{3}[-.]\d{3}[-.]\d{4}\b"),
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
-    ("URL_LINK", r"https?://[^\s<>\"']+"),
+    ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4}\b"),
+    ("URL_LINK", r"(?i)https?://[^\s<>\"']+"),
     ("BITCOIN_ADDRESS", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b"),
     ("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b"),
     ("HEX_COLOR", r"#[0-9A-Fa-f]{6}\b"),
@@ -38,6 +39,19 @@ def replace_words(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, "(?i)" + quote(p[0]), p[1].replace("\\", "\\\\").replace("$", r"\$")), pairs, text)
 
 
+def seeded_replacements(seed: str = "postsieve") -> list[tuple[str, str]]:
+    """The default dictionary: each word with ten letters after it that depend on the seed alone."""
+    letters = lambda w: "".join(chr(97 + b % 26) for b in hashlib.sha256(f"{seed}|{w}".encode()).digest()[:10])
+    return [(w, w + letters(w)) for w in REPLACEMENT_WORDS]
+
+
+def replacements(given: dict[str, str] | list[tuple[str, str]] | None) -> list[tuple[str, str]]:
+    """Pairs of a given dictionary or list; the basic ones for None or for what is neither."""
+    if isinstance(given, dict):
+        return list(given.items())
+    return list(given) if isinstance(given, list) and given else list(BASIC_REPLACEMENTS)
+
+
 def preprocess(text: Column, pairs: list[tuple[str, str]] = (), tags: bool = True) -> Column:
     """Replacements, then tags; blank text gives the empty string."""
     out = replace_words(text, list(pairs))
@@ -78,6 +92,30 @@ def drop_stop_words(toks: Column, words: list[str] = tuple(STOP_WORDS)) -> Colum
     return F.filter(toks, lambda t: ~t.isin(*words))
 
 
+@lru_cache
+def stop_words(locale_: str) -> tuple[str, ...]:
+    """Stop words of a language, those of English with them: Spark's lists; for a language without one the English list alone."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    own = StopWordsRemover.loadDefaultStopWords(STOP_LISTS[locale_]) if locale_ in STOP_LISTS else []
+    return tuple(sorted({*own, *StopWordsRemover.loadDefaultStopWords("english"), *STOP_WORDS}))
+
+
+def without_stop_words(toks: Column, locale_: Column, languages: list[str] = tuple(STOP_LISTS)) -> Column:
+    """Tokens without the stop words of their text's language; other languages take the English list. Keeps order and repetitions."""
+    keep = lambda words: F.filter(toks, lambda t: ~t.isin(*words))
+    return reduce(lambda e, k: e.when(locale_ == k, keep(stop_words(k))), [k for k in languages if k != "en"], F.when(locale_ == "en", keep(stop_words("en")))).otherwise(keep(stop_words("en")))
+
+
+def locale_tokens(text: Column, locale_: Column) -> Column:
+    """Tokens of a text in a language: full width made half, contractions written out, Chinese and Japanese split at blanks only, others at what is
+    no letter, digit or hyphen; lower case, 1 to 50 characters, without stop words."""
+    ready = expand_contractions(half_width(text))
+    short = lambda t: F.filter(F.transform(t, lambda x: F.lower(F.trim(x))), lambda x: (F.length(x) >= 1) & (F.length(x) <= 50))
+    split = let(ready, lambda r: F.when(locale_.isin("ja", "zh"), short(blank_tokens(r))).otherwise(tokens(r)))
+    return let(split, lambda t: without_stop_words(t, locale_))
+
+
 def hash_tokens(toks: Column, digits: int = 16) -> Column:
     return F.transform(toks, lambda t: F.substring(F.sha2(t, 256), 1, digits))
 
@@ -103,12 +141,12 @@ def language_code(code: Column) -> Column:
 
 def language_guard(text: Column) -> Column:
     """Whether a text is so short or so free of ASCII letters that it counts as English without looking."""
-    return F.coalesce(F.length(F.trim(text)) < 3, F.lit(True)) | text.rlike(r"^[0-9\s\W]+\z")
+    return F.coalesce(F.length(text) < 3, F.lit(True)) | text.rlike(r"^[\s\x00-\x40\x5B-\x5E\x60\x7B-\x{10FFFF}]*\z")
 
 
 def plausible_short(text: Column, lang: Column) -> Column:
-    """Whether a short text may be trusted to a detector: text in Latin letters needs more than ten characters."""
-    return ~text.rlike(r"^[A-Za-z\s]+\z") | (F.length(text) > 10) | (lang == "en")
+    """Whether a short text may be trusted to a detector: one in Latin letters needs seven characters, unless it is English."""
+    return text.rlike(r"[^\x00-\x{24F}\x{1E00}-\x{1EFF}]") | (F.length(text) >= 7) | (lang == "en")
 
 
 def features(subject: Column, text: Column, attachments: Column) -> Column:

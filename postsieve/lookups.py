@@ -14,8 +14,8 @@ ARCHIVE = "zip rar 7z tar gz bz2 xz arj cab lzh ace iso".split()
 MACRO_SCRIPT = "vbs vba ps1 bat cmd scr pif".split()
 MACRO_OFFICE = "docm xlsm pptm xlam dotm xltm potm".split()
 LEGACY_OFFICE = "doc xls ppt dot xlt pot xla ppa".split()
-# First bytes of executable files, in hex.
-MAGIC = {"4D5A": "exe", "7F454C46": "elf", "CAFEBABE": "class", "FEEDFACE": "macho", "FEEDFACF": "macho", "CEFAEDFE": "macho", "CFFAEDFE": "macho", "2321": "script", "504B0304": "zip"}
+# First bytes of the kinds of files whose extension is in EXECUTABLE, in hex.
+MAGIC = {"4D5A": "exe", "7F454C46": "elf", "CAFEBABE": "class", "0061736D": "wasm", "4D534346": "cab", "4C00000001140200": "lnk"}
 GTUBE = "XJS*C4JDBQADN1.NSBN3*2IDNEN*GTUBE-STANDARD-ANTI-UBE-TEST-EMAIL*C.34X"
 
 # Text patterns of macros, in lower case.
@@ -78,16 +78,29 @@ CONFUSABLE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O",
     "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "α": "a", "ο": "o", "ρ": "p", "υ": "u", "ν": "v", "ι": "i", "Α": "A", "Β": "B", "Ε": "E",
     "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y",
+    "𝐚": "a", "𝐛": "b", "𝐜": "c", "𝐝": "d", "𝐞": "e", "𝟎": "0", "𝟏": "1", "𝟐": "2", "𝟑": "3", "𝟒": "4", "ℯ": "e", "ℊ": "g", "ℎ": "h", "ℓ": "l", "ℴ": "o", "ⅰ": "i", "ⅴ": "v",
 }
+# Signs that stand for several letters.
+CONFUSABLE_LONG = {"ⅱ": "ii", "ⅲ": "iii", "ⅳ": "iv"}
+# Words that replacement tables mark, and the replacements used without a table.
+REPLACEMENT_WORDS = "url email number currency initialism abbreviation emoji hexa mac phone bitcoin cc".split()
+BASIC_REPLACEMENTS = [("2", "to"), ("4", "for"), ("u", "you"), ("ur", "your"), ("r", "are"), ("n", "and"), ("w/", "with"), ("b4", "before")]
+# Names of mailbox files.
+MBOX_NAMES = r"(?:\.mbox|\.mbox\..*|\.mail|\.mail\..*|\.orig|\.(?:19|20)\d{2}\.\d{2})\z|^(?:19|20)\d{2}-\d{2}\z"
 CONTEXT_PATTERNS = [r"urgent", r"verify[^\n\r]*account", r"suspended", r"click[^\n\r]*here", r"limited[^\n\r]*time", r"act[^\n\r]*now", r"confirm[^\n\r]*identity"]
 
 # Two-label suffixes, of the rules and of the attributes; they are not the same list.
 RULE_SUFFIXES = "co.uk com.au co.nz co.jp com.br co.in".split()
 ATTRIBUTE_SUFFIXES = "co.uk com.au co.nz co.jp com.br co.in org.uk net.au com.mx com.cn com.tw com.hk co.za com.sg".split()
 
+# Suffixes that firms let out, a default that callers replace.
+PRIVATE_SUFFIXES = "github.io blogspot.com herokuapp.com netlify.app vercel.app pages.dev web.app firebaseapp.com".split()
+
 # Three-letter language codes.
 LANGUAGE_CODES = {"eng": "en", "fra": "fr", "deu": "de", "spa": "es", "ita": "it", "por": "pt", "rus": "ru", "zho": "zh", "cmn": "zh", "jpn": "ja", "kor": "ko", "nld": "nl", "pol": "pl", "swe": "sv", "dan": "da", "nor": "no", "fin": "fi", "tur": "tr", "ara": "ar", "heb": "he", "ell": "el", "hun": "hu", "ces": "cs", "ukr": "uk"}
 AUTH_WEIGHTS = {"dkim": (-2, 3), "spf": (-1, 2), "dmarc": (-2, 4), "arc": (-1, 1)}
 FEEDBACK_TYPES = "abuse fraud virus other not-spam auth-failure dmarc".split()
+# Names of Spark's stop lists by language.
+STOP_LISTS = {"en": "english", "da": "danish", "nl": "dutch", "fi": "finnish", "fr": "french", "de": "german", "hu": "hungarian", "it": "italian", "no": "norwegian", "pt": "portuguese", "ru": "russian", "es": "spanish", "sv": "swedish", "tr": "turkish"}
 # A short English stop list.
 STOP_WORDS = "a an and are as at be but by for from has have he her his i if in is it its me my not of on or our she so that the their them they this to was we were will with you your".split()

@@ -29,6 +29,19 @@ def score(dkim: Column, spf: Column, dmarc: Column, arc: Column) -> Column:
     return F.struct(reduce(lambda a, b: a + b, points).alias("score"), F.array_compact(F.array(*tests)).alias("tests"))
 
 
+def normalised(results: dict[str, Column], domains: dict[str, Column] | None = None) -> Column:
+    """struct of struct<result, comment, domain> for dkim, spf, dmarc, arc and bimi; what is absent is "none" with a comment that says so."""
+    absent = {"dkim": "No DKIM signature found", "spf": "SPF check not performed", "dmarc": "DMARC check not performed", "arc": "No ARC chain found", "bimi": "No BIMI record found"}
+    domains = domains or {}
+    one = lambda k, c: F.struct(normal(c).alias("result"), F.when(normal(c) == "none", absent[k]).alias("comment"), domains.get(k, F.lit(None).cast("string")).alias("domain"))
+    return F.struct(*(one(k, results.get(k, F.lit(None).cast("string"))).alias(k) for k in absent))
+
+
+def from_header(value: Column) -> dict[str, Column]:
+    """Result words of an Authentication-Results header by method; null where it doesn't name the method."""
+    return {k: F.nullif(F.lower(F.regexp_extract(value, rf"(?i)(?:^|[;\s]){k}=([a-z]+)", 1)), F.lit("")) for k in ("dkim", "spf", "dmarc", "arc", "bimi")}
+
+
 def header(host: str, dkim: Column, spf: Column, spf_domain: Column, dmarc: Column, arc: Column) -> Column:
     part = lambda name, c, extra=None: F.when(c.isNotNull(), F.concat(F.lit(f"{name}="), c) if extra is None else F.concat(F.lit(f"{name}="), c, extra))
     domain = F.when(spf_domain.isNotNull(), F.concat(F.lit(" smtp.mailfrom="), spf_domain)).otherwise("")

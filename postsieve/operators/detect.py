@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions import idn, urls
-from postsieve.functions.patterns import any_of, count, java
-from postsieve.lookups import ARCHIVE, DATES, EXECUTABLE, GTUBE, LEGACY_OFFICE, MACRO_OFFICE, MACRO_SCRIPT, MACRO_TEXT, MAGIC
+from postsieve.functions.patterns import any_of, count, java, let
+from postsieve.lookups import ARCHIVE, DATES, EXECUTABLE, GTUBE, IDN_WHITELIST, LEGACY_OFFICE, MACRO_OFFICE, MACRO_SCRIPT, MACRO_TEXT, MAGIC
 
 #: Names of HTML elements, whose closing tags look like paths.
 HTML_TAGS = (
@@ -33,8 +33,8 @@ def archive_by_name(filename: Column) -> Column:
 
 
 def executable_by_content(content: Column) -> Column:
-    """Kind of executable by its first bytes, null if none."""
-    head = F.hex(F.substring(content, 1, 4))
+    """Extension of the kind of executable that the first bytes tell, null if none. Archives and scripts are none."""
+    head = F.hex(F.substring(content, 1, 8))
     out = None
     for magic, kind in MAGIC.items():
         hit = head.startswith(magic)
@@ -54,8 +54,7 @@ def pdf_script(filename: Column, content: Column) -> Column:
 
 def macro_text(text: Column) -> Column:
     """Kinds of macro code in a text, in fixed order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(any_of(low, ps), kind) for kind, ps in MACRO_TEXT.items())))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*(F.when(any_of(low, ps), kind) for kind, ps in MACRO_TEXT.items()))))
 
 
 def date_counts(text: Column) -> list[Column]:
@@ -63,8 +62,13 @@ def date_counts(text: Column) -> list[Column]:
     return [count(low, p) for p in DATES]
 
 
+def date_findings(text: Column) -> Column:
+    """array<int>: how often each date pattern that occurs more than five times does."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(F.array(*(count(low, p) for p in DATES)), lambda n: n > 5))
+
+
 def date_spam(text: Column) -> Column:
-    return F.greatest(*date_counts(text)) > 5
+    return F.size(date_findings(text)) > 0
 
 
 def file_paths(text: Column) -> Column:
@@ -79,8 +83,8 @@ def gtube(text: Column) -> Column:
     return F.coalesce(text.contains(GTUBE), F.lit(False))
 
 
-def virus(content: Column, signatures: DataFrame | None = None) -> Column:
-    """The literal anti-virus test string; known signatures are joined on sha2(content, 256) by virus_hits."""
+def virus(content: Column) -> Column:
+    """The literal anti-virus test string; other signatures are joined on sha2(content, 256) by virus_hits."""
     return F.coalesce(F.decode(content, "ISO-8859-1").contains("EICAR-STANDARD-ANTIVIRUS-TEST-FILE"), F.lit(False))
 
 
@@ -97,16 +101,51 @@ def toxicity_input(subject: Column, text: Column, html: Column, limit: int | Non
     return F.when(F.length(joined) >= 10, joined)
 
 
+def url_hosts(text: Column) -> Column:
+    """array<struct<host, fragment>> of a text's distinct URLs; fragment: whether the URL has one, so that what is shown differs from what is linked."""
+    each = F.transform(urls.raw_urls(text), lambda u: F.struct(urls.host_of(u).alias("host"), u.contains("#").alias("fragment")))
+    return F.filter(each, lambda x: x["host"] != "")
+
+
+def host_findings(text: Column, content: Column | None = None) -> Column:
+    """array<struct<host, risk, type>> of the hosts of a text's URLs: type is phishing above 0.6, suspicious above 0.3, else null.
+
+    content: what the context is read from, the text by default. Its share is computed once a mail, and only where there are URLs.
+    """
+
+    def over(hosts: Column) -> Column:
+        context = F.when(F.size(hosts) > 0, idn.text_score(text if content is None else content))
+
+        def one(x: Column, add: Column) -> Column:
+            host = idn.host_score(x["host"])
+            shown = F.when(x["fragment"], F.lit(0.3)).otherwise(F.lit(0.0))
+            score = F.when(x["host"].isin(*IDN_WHITELIST), F.lit(0.0)).otherwise(host["before"] + (shown + add) + host["after"])
+            return let(score, lambda r: F.struct(x["host"].alias("host"), r.alias("risk"), F.when(r > 0.6, "phishing").when(r > 0.3, "suspicious").alias("type")))
+
+        return let(context, lambda add: F.transform(hosts, lambda x: one(x, add)))
+
+    return let(url_hosts(text), over)
+
+
 def host_risk(mail: DataFrame) -> DataFrame:
-    """mail(message_id, text) -> one row per message and host of its URLs: host, risk, type (phishing, suspicious or null).
+    """mail(message_id, text) -> one row per message and host of its URLs: host, risk, type (phishing, suspicious or null), without a join.
 
-    Risk is computed once for each distinct host and set of context flags, then joined back.
+    A host of several URLs has the greatest of their risks.
     """
-    found = mail.select("message_id", "text", F.explode(urls.raw_urls(F.col("text"))).alias("url"))
-    hosts = found.select("message_id", "text", urls.host_of(F.col("url")).alias("host"), F.col("url").contains("#").alias("fragment")).where("host <> ''")
-    scored = hosts.withColumn("risk", idn.risk(F.col("host"), F.col("text"), F.col("fragment")))
-    per = scored.groupBy("message_id", "host").agg(F.max("risk").alias("risk"))
-    return per.withColumn("type", F.when(F.col("risk") > 0.6, "phishing").when(F.col("risk") > 0.3, "suspicious"))
+    found = mail.select("message_id", F.explode(host_findings(F.col("text"))).alias("x")).groupBy("message_id", "x.host").agg(F.max("x.risk").alias("risk"))
+    return found.withColumn("type", F.when(F.col("risk") > 0.6, "phishing").when(F.col("risk") > 0.3, "suspicious"))
+
+
+def attachment_findings(attachments: Column) -> Column:
+    """struct of counts over array<struct<filename, content_type, content>>: executables (by name and by content), archives, macros, scripts in PDF
+    files, and viruses (the test string)."""
+    files = F.coalesce(attachments, F.array().cast("array<struct<filename:string,content_type:string,content:binary>>"))
+    count_if = lambda f: F.size(F.filter(files, lambda a: F.coalesce(f(a), F.lit(False))))
+    by_content = lambda a: executable_by_content(a["content"]).isin(*EXECUTABLE)
+    return F.struct(
+        (count_if(lambda a: executable_by_name(a["filename"])) + count_if(by_content)).alias("executables"), count_if(lambda a: archive_by_name(a["filename"])).alias("archives"),
+        (count_if(lambda a: macro_by_name(a["filename"]).isNotNull()) + count_if(lambda a: pdf_script(a["filename"], a["content"]))).alias("macros"), count_if(lambda a: virus(a["content"])).alias("viruses"),
+    )
 
 
 def blocked_hosts(mail: DataFrame, blocked: DataFrame) -> DataFrame:

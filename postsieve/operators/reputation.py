@@ -6,13 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.functions import urls
+from postsieve.functions.patterns import let
+
+
+def _three(address: Column) -> Column:
+    """Address, its host and its root host, a forwarding rewrite undone."""
+    return let(F.lower(urls.undo_srs(address)), lambda a: F.when(F.coalesce(a, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(a, urls.host_of_address_or_domain(a), urls.root_domain_attributes(urls.host_of_address_or_domain(a)))))
+
+
+def _clean(values: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(F.array_compact(values), lambda v: F.lower(F.trim(v))), lambda v: v != ""))
 
 
 def attributes(client_host: Column, root_client: Column, ip: Column, from_: Column, reply_to: Column, mail_from: Column) -> Column:
     """Distinct values in order: host, root host, address, then address, host and root host of sender, reply address and envelope sender."""
-    three = lambda a: [a, urls.host_of_address(a), urls.root_domain_attributes(urls.host_of_address(a))]
-    every = F.array(client_host, root_client, ip, *three(from_), *three(reply_to), *three(mail_from))
-    return F.array_distinct(F.filter(F.transform(F.array_compact(every), lambda v: F.lower(F.trim(v))), lambda v: v != ""))
+    return _clean(F.concat(F.array(client_host, root_client, ip), _three(from_), _three(reply_to), _three(mail_from)))
+
+
+def aligned_attributes(client_host: Column, root_client: Column, ip: Column, from_: Column, reply_to: Column, mail_from: Column, signing_domains: Column, spf: Column) -> Column:
+    """As attributes, but each group of three only if it is proven: its host or root host signed the mail, or SPF passed for it.
+
+    signing_domains: array<string> of domains whose signatures passed. spf: map<string, string> of results by domain.
+    """
+    empty = F.array().cast("array<string>")
+
+    def group(address: Column) -> Column:
+        def proven(x: Column) -> Column:
+            names = F.slice(x, 2, 2)
+            signed = F.coalesce(F.arrays_overlap(names, signing_domains), F.lit(False))
+            result = F.coalesce(F.try_element_at(spf, F.get(names, F.lit(0))), F.try_element_at(spf, F.get(names, F.lit(1))))
+            return F.when((F.size(x) > 0) & (signed | F.coalesce(result == "pass", F.lit(False))), x).otherwise(empty)
+
+        return let(_three(address), proven)
+
+    return _clean(F.concat(F.array(client_host, root_client, ip), group(from_), group(reply_to), group(mail_from)))
+
+
+def checked_values(attrs: Column, envelope_sender: Column, reply_to: Column) -> Column:
+    """Attributes, then the envelope sender, the reply address and their hosts where they aren't among them."""
+    pair = lambda a: F.array(F.lower(a), F.nullif(F.split_part(F.lower(a), F.lit("@"), F.lit(2)), F.lit("")))
+    return _clean(F.concat(attrs, pair(envelope_sender), pair(reply_to)))
 
 
 def aligned(attrs: Column, host: Column, spf_pass: Column, signing_domains: Column) -> Column:

@@ -20,8 +20,18 @@ def scan_stream(mail: DataFrame, threshold: int = 5) -> DataFrame:
 
 
 def scan_metrics(scanned: DataFrame) -> DataFrame:
-    """(scans, spam, mean_score): totals over all that was scanned; on a stream, for output mode complete."""
-    return scanned.agg(F.count(F.lit(1)).alias("scans"), F.count_if("is_spam").alias("spam"), F.avg("rule_score").alias("mean_score"))
+    """(scans, spam, mean_score, last_id): totals over all that was scanned, and its greatest id; on a stream, for output mode complete."""
+    return scanned.agg(F.count(F.lit(1)).alias("scans"), F.count_if("is_spam").alias("spam"), F.avg("rule_score").alias("mean_score"), F.max("message_id").alias("last_id"))
+
+
+def reply(scanned: DataFrame, path: str, checkpoint: str, available_now: bool = False):
+    """Start to write a reply, one JSON object for each mail, for every batch of a stream; a batch that is repeated after a failure overwrites its replies."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select(F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("overwrite").text(f"{path}/batch={number}")
+
+    out = scanned.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
 
 
 def windowed(mail: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

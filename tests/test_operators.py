@@ -25,7 +25,7 @@ def test_srs(spark):
 
 def test_urls(spark):
     t = "See HTTPS://no, https://Example.com:443/a/?b=2&utm_source=x&a=1#top). and https://example.com/a?a=1&b=2"
-    assert value(spark, urls.urls(F.lit(t))) == ["https://example.com/a?a=1&b=2"]
+    assert value(spark, urls.urls(F.lit(t))) == ["https://no", "https://example.com/a?a=1&b=2"]
     s = value(spark, urls.public_suffix(F.lit("subdomain.example.co.uk")))
     assert (s["domain"], s["sld"], s["suffix"], s["subdomain"], s["is_ip"]) == ("example.co.uk", "example", "co.uk", "subdomain", False)
     assert value(spark, urls.public_suffix(F.lit("192.168.1.1")))["is_ip"]
@@ -103,7 +103,7 @@ def test_preprocess(spark):
 
 def test_verdict(spark):
     on, off = F.lit(True), F.lit(False)
-    assert value(spark, verdict.message({"phishing": on, "macros": on, "arbitrary": on}, off, off)) == "Spam (phishing, macros, and arbitrary)"
+    assert value(spark, verdict.message({"phishing": on, "macros": on, "arbitrary": on}, off, off)) == "Spam (phishing detected, macro detected, and arbitrary patterns)"
     assert value(spark, verdict.message({"phishing": off}, off, off)) == "Ham"
     assert value(spark, verdict.weighted_score({"phishing": F.lit(1), "executables": F.lit(1)}, F.lit(0.5), F.lit(0), off, off, off)) == 15
     assert value(spark, verdict.weighted_score({"phishing": F.lit(1)}, F.lit(0.5), F.lit(0), off, off, on)) == 2
@@ -140,12 +140,55 @@ def test_mime():
 
 
 def test_mbox(spark, tmp_path):
-    from postsieve.sources.mbox import MboxSource
+    from postsieve.sources.mbox import MBOX_NAMES, read_mbox
 
-    (tmp_path / "a.mbox").write_text("From x\nSubject: 1\n\n>From me\nFrom y\nSubject: 2\n\nb\n")
-    spark.dataSource.register(MboxSource)
-    rows = spark.read.format("mbox").load(str(tmp_path / "a.mbox")).orderBy("number").collect()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.mbox").write_text("From x\nSubject: 1\n\n>From me\nFrom y\nSubject: 2\n\nb\n")
+    (tmp_path / "in" / "b.txt").write_text("From z\nSubject: 3\n\nc")
+    rows = read_mbox(spark, str(tmp_path / "in"), MBOX_NAMES, number=True).orderBy("number").collect()
     assert [(r["number"], r["raw"]) for r in rows] == [(0, "Subject: 1\n\nFrom me\n"), (1, "Subject: 2\n\nb\n")]
+    assert {r["raw"] for r in read_mbox(spark, str(tmp_path / "in")).collect()} == {"Subject: 1\n\nFrom me\n", "Subject: 2\n\nb\n", "Subject: 3\n\nc\n"}
+
+
+def test_mbox_over_many_tasks(spark, tmp_path):
+    """A file that is split between tasks gives each message once, in order."""
+    from postsieve.sources.mbox import read_mbox
+
+    (tmp_path / "big.mbox").write_text("".join(f"From a{i}\nSubject: {i}\n\n{'x' * (i % 700)}\n" for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = read_mbox(spark, str(tmp_path / "big.mbox"), number=True)
+        got = df.select("number", F.regexp_extract("raw", r"Subject: (\d+)", 1).cast("int").alias("s")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r["number"], r["s"]) for r in got) == [(i, i) for i in range(3000)]
+
+
+def test_numbering_of_two_hot_groups(spark):
+    from postsieve.operators import datasets
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g")).repartition(6)
+    got = datasets.numbered(df, ["g"], ["v"]).collect()
+    for g in "ab":
+        values = sorted(r["v"] for r in got if r["g"] == g)
+        assert [(r["v"], r["k"], r["n"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["k"])] == [(v, k, len(values)) for k, v in enumerate(values, 1)]
+    assert datasets.numbered(df.limit(0), [], ["v"]).count() == 0
+
+
+def test_vocabulary_limit(spark):
+    docs = spark.createDataFrame([("spam", ["a", "a", "b"]), ("ham", ["a", "c", "d"])], "category string, tokens array<string>")
+    assert {r["token"] for r in bayes.train(docs, limit=2).counts.collect()} == {"a", "c"}
+    empty = bayes.train(docs.limit(0), limit=5)
+    assert bayes.classify(spark.createDataFrame([(1, ["a"])], "id long, tokens array<string>"), empty).first()["category"] is None
+
+
+def test_categoriser_is_classify(spark):
+    docs = spark.createDataFrame([("spam", ["win", "money"]), ("spam", ["win", "prize"]), ("ham", ["meeting", "report"])], "category string, tokens array<string>")
+    new = spark.createDataFrame([(1, ["win", "money", "now"]), (2, ["report"]), (3, []), (4, None)], "id long, tokens array<string>")
+    m = bayes.train(docs, limit=100)
+    one = {r["id"]: r["category"] for r in bayes.classify(new, m).collect()}
+    assert {r["id"]: r["c"] for r in new.select("id", bayes.categoriser(m)(F.col("tokens")).alias("c")).collect()} == one
 
 
 def test_stream(spark, tmp_path):
@@ -158,6 +201,36 @@ def test_stream(spark, tmp_path):
     assert {r["message_id"]: r["is_spam"] for r in spark.table("scanned").collect()} == {1: True, 2: False}
 
 
+def test_stream_replies_and_totals(spark, tmp_path):
+    from postsieve.streaming import scan as S
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"message_id": 1, "subject": "FREE PRIZE", "text": "western union wire transfer lottery"}\n{"message_id": 2, "subject": "Hi", "text": "see you"}\n')
+    scanned = S.scan_stream(S.read_mail_stream(spark, str(tmp_path / "in")))
+    S.reply(scanned, str(tmp_path / "out"), str(tmp_path / "c"), available_now=True).awaitTermination(120)
+    got = spark.read.json(str(tmp_path / "out"))
+    assert {(r["message_id"], r["message"]) for r in got.collect()} == {(1, "Spam (arbitrary patterns)"), (2, "Ham")}
+    q = S.scan_metrics(scanned).writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
+    q.awaitTermination(120)
+    assert tuple(spark.table("totals").first())[:2] == (2, 1)
+
+
+def test_scan_of_parsed_messages(spark):
+    """Raw messages through the parser into the scan: attachments, pages and header lines count."""
+    from postsieve.plans.scan import Config, scan
+    from postsieve.sources.mime import parse_mail
+
+    exe = "From: a@b.example\nDate: x\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: text/plain\n\nhello\n--q\nContent-Disposition: attachment; filename=h.exe\nContent-Type: application/octet-stream\nContent-Transfer-Encoding: base64\n\nTVo=\n--q--\n"
+    gtube = "From: a@b.example\nX-Test: XJS*C4JDBQADN1.NSBN3*2IDNEN*GTUBE-STANDARD-ANTI-UBE-TEST-EMAIL*C.34X\n\nhi"
+    ms = "From: a@b.example\nReceived: from x.outbound.protection.outlook.com (h [192.0.2.1])\nX-Forefront-Antispam-Report: SCL:9;CAT:MALW\n\nhi"
+    df = spark.createDataFrame([(1, exe), (2, gtube), (3, ms), (4, "From: a@b.example\n\nhi"), (5, "")], "id int, raw string")
+    parsed = parse_mail(df.withColumn("id", F.col("id").cast("string")), "id", "raw").withColumnRenamed("message_id", "message_id_header").withColumn("message_id", F.col("source").cast("int")).drop("date")
+    got = {r["message_id"]: r for r in scan(parsed, config=Config(as_of="2024-01-01 00:00:00")).collect()}
+    assert [got[i]["message"] for i in range(1, 6)] == ["Spam (executable content)", "Spam (arbitrary patterns)", "Spam (arbitrary patterns)", "Ham", "Ham"]
+    assert got[3]["subtype"] == "malware" and got[3]["reasons"][0] == "MS_HIGH_CONFIDENCE_THREAT: CAT:MALW"
+    assert scan(parsed.limit(0)).count() == 0
+
+
 def test_rewrite_beyond_the_basic_plane(spark):
     assert value(spark, verdict.rewrite(F.lit("Subject: 𝐚𝐛\r\n\r\nb"), F.lit("X: $1\\"), F.lit(None).cast("string"))) == "Subject: 𝐚𝐛\r\nX: $1\\\r\n\r\nb"
 

@@ -7,7 +7,9 @@ from collections import Counter
 import duckdb
 import pytest
 
-from postsieve.plans.queries import QUERIES, SQL
+from postsieve.plans import load
+
+QUERIES, SQL = load().QUERIES, load().SQL
 
 
 @pytest.fixture(scope="module")
