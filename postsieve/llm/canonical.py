@@ -89,12 +89,27 @@ def _looks_latin(w: str) -> bool:
     return all(c in TO_LATIN or not "Ͱ" <= c <= "ԯ" for c in w)
 
 
+#: Cyrillic letters of other languages than Russian.
+_NOT_RUSSIAN = frozenset("іїєґўјљњћђџѓќѕІЇЄҐЎЈЉЊЋЂЏЃЌЅ")
+#: Those of them that pass for no Latin letter.
+_LIKE_NOTHING = frozenset("єґўљњћђџѓќЄҐЎЉЊЋЂЏЃЌ")
+
+
+def _in_running_text(text: str, s: int, e: int) -> bool:
+    """Whether a word stands between words, with plain blanks on either side."""
+    return s > 1 and e + 1 < len(text) and text[s - 1] == text[e] == " " and text[s - 2].isalpha() and text[e + 1].isalpha()
+
+
 def _letters(text: str) -> str:
     """Words with look-alike letters of another script, put right by the word's other letters or by its neighbours."""
     p = _patterns()
     words = list(p["word"].finditer(text))
     kinds = [_script(m.group()) for m in words]
     firm = [k == "C" and not _looks_latin(m.group()) for k, m in zip(kinds, words)]  # surely Cyrillic
+    greek = [k == "G" and not _looks_latin(m.group()) for k, m in zip(kinds, words)]  # surely Greek
+    # letters that Russian lacks are sound in a text whose other words have some, as in Ukrainian or Serbian
+    theirs = {m.group() for m, ok in zip(words, firm) if ok and not _NOT_RUSSIAN.isdisjoint(m.group())}
+    other = len(theirs) > 1 or any(not _LIKE_NOTHING.isdisjoint(w) for w in theirs)
     out, at = [], 0
     for i, (m, k) in enumerate(zip(words, kinds)):
         w, new = m.group(), None
@@ -107,8 +122,11 @@ def _letters(text: str) -> str:
             elif "C" in k and all(c in _TO_CYRILLIC or "Ѐ" <= c <= "ԯ" for c in w):
                 new = w.translate(_CYR_SET)
         elif k in ("C", "G") and _looks_latin(w):
-            odd = k == "G" or any(c in "іјѕһԁԛԝѵӏІЈЅҮ" for c in w)
-            if odd or not any(firm[max(0, i - 4) : i + 5]):
+            if k == "G":
+                running = len(w) > 1 or _in_running_text(text, m.start(), m.end())  # else a sign of a formula
+                if running and not any(greek[max(0, i - 4) : i + 5]):
+                    new = w.translate(_LATIN_SET)
+            elif (not other and any(c in "іјѕһԁԛԝѵӏІЈЅҮ" for c in w)) or not any(firm[max(0, i - 4) : i + 5]):
                 new = w.translate(_LATIN_SET)
         elif k == "L" and w.islower() and len(w) == 1 and 0 < i < len(words) - 1 and firm[i - 1] and firm[i + 1] and all(c in _TO_CYRILLIC for c in w):
             new = w.translate(_CYR_SET)

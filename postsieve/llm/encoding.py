@@ -2,7 +2,8 @@
 
 For each candidate pair (encoding it was read in, encoding it was written in) the suspicious part of a text is encoded
 back to bytes and strictly decoded as it was meant; the result is accepted when a garbling cost drops. Layers are
-peeled repeatedly. Texts written in UTF-8 are repaired byte sequence by byte sequence, so that one garbled sequence in an
+peeled until nothing changes. Costs know the letters of Western languages and of Russian; text in any other script is accepted where whole runs
+of characters decode strictly and come out in one script. Texts written in UTF-8 are repaired byte sequence by byte sequence, so that one garbled sequence in an
 otherwise good text is found; texts in single-byte encodings word by word, by evidence over the whole field.
 
 Defined results: null and empty text, and text of ASCII only, come back unchanged and unflagged. A replacement
@@ -28,7 +29,6 @@ PAIRS = (
     ("western", "cp1251"), ("western", "koi8_r"), ("western", "cp866"), ("mac_roman", "cp1251"), ("mac_roman", "koi8_r"), ("cp850", "cp1251"), ("cp437", "cp1251"),
     ("cp850", "western"), ("cp437", "western"), ("mac_roman", "western"), ("western", "mac_roman"), ("western", "cp850"), ("cp1250", "western"), ("cp1251", "western"),
 )
-LAYERS = 4
 #: A field is repaired from a single-byte pair when its words get cheaper by this much in all.
 PAIR_DROP = 2.0
 SEQUENCE_DROP = 0.35
@@ -56,6 +56,8 @@ def _char_cost(c: str) -> float:
         return 0.6
     if c in _SIGNS:
         return _SIGNS[c]
+    if c in "ýÝ":
+        return 1.2
     if c.lower() in RUSSIAN:
         return min(1.3, max(0.0, 0.35 * math.log(8 / RUSSIAN[c.lower()]))) + (0.1 if c.isupper() else 0.0)
     if n < 0xA0 or n == 0xFFFD:
@@ -118,7 +120,7 @@ _ENCODE = {n: {ord(c): b for c, b in t[0].items()} | {i: i for i in range(128)}
 
 
 def _new_cost(c: str) -> float:
-    """Cost of a decoded character; text here is Western or Russian, so that anything else is no repair."""
+    """Cost of a decoded character in a text of Western or Russian letters; other scripts are a matter of _whole_runs."""
     n = ord(c)
     if n > 0xFF and c.lower() not in RUSSIAN and c not in _TABLES["western"][0] and _COST[c] > 0.6:
         return 99.0
@@ -144,9 +146,50 @@ def _splice(run: str, name: str) -> tuple[str, float]:
     return "".join(out), drop
 
 
+#: Scripts whose letters a strict decoding of whole runs may give, by their first and last code points.
+_SCRIPTS = [(name, lo, hi) for name, *spans in (
+    ("Latin", (0xC0, 0x17F), (0x218, 0x21B), (0x1E00, 0x1EFF)), ("Greek", (0x370, 0x3FF), (0x1F00, 0x1FFF)), ("Cyrillic", (0x400, 0x4FF)), ("Hebrew", (0x5D0, 0x5EA)), ("Arabic", (0x620, 0x6D3)),
+    ("Indic", (0x900, 0xDFF)), ("Thai", (0xE01, 0xE5B)), ("Georgian", (0x10A0, 0x10FF)), ("East Asian", (0x3001, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFFEE)),
+) for lo, hi in spans]
+#: Signs that may follow a letter in sound text, so that the two may look like a sequence.
+_MAY_FOLLOW = set("“”’‘…–—»«›‹°€•™®©\xa0´§")
+
+
+def _script_of(c: str) -> str | None:
+    n = ord(c)
+    return next((name for name, lo, hi in _SCRIPTS if lo <= n <= hi), None)
+
+
+def _whole_runs(text: str) -> tuple[str, bool]:
+    """Runs that decode strictly, as a whole and for one encoding, to letters of one script beyond Western and Russian. A text must hold two sequences of
+    them, or one inside a word that no sound text would hold; of the scripts with sequences of three bytes two in a row."""
+    for name in READ_AS:
+        back, found, sure = _TABLES[name][0], {}, 0
+        for m in _RUN.finditer(text):
+            run = m.group()
+            if len(run) < 2 or run in found or _ALIKE.issuperset(run):
+                continue
+            try:
+                new = bytes([back[c] for c in run]).decode("utf-8")
+            except (KeyError, UnicodeDecodeError):
+                continue
+            kinds = {_script_of(c) for c in new if c.isalpha() or _script_of(c)}
+            if len(kinds) != 1 or None in kinds or any(ord(c) < 0xA0 for c in new) or all(ord(c) < 0x100 or _new_cost(c) < 1.5 for c in new):
+                continue
+            wide = kinds & {"Indic", "Thai", "Georgian", "East Asian"}
+            if wide and len(new) < 2 or run[0] in _MAY_FOLLOW and len(new) < 3:
+                continue
+            inside = m.end() < len(text) and text[m.end()].isalpha() or not any(c in _MAY_FOLLOW for c in run)
+            found[run] = new
+            sure += 2 if inside or len(new) > 1 + bool(kinds & {"Latin"}) else 1
+        if sure > 1:
+            return _RUN.sub(lambda m: found.get(m.group(), m.group()), text), True
+    return text, False
+
+
 def _from_utf8(text: str) -> tuple[str, bool]:
     """One layer of UTF-8 read as something else removed, run by run."""
-    hit = False
+    text, hit = _whole_runs(text)
 
     def one(m: re.Match) -> str:
         nonlocal hit
@@ -162,6 +205,18 @@ def _from_utf8(text: str) -> tuple[str, bool]:
     return _RUN.sub(one, text), hit
 
 
+#: Letters beyond ASCII of languages that cp1250 is made for.
+_CENTRAL = [frozenset(x) for x in ("ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîşţșț", "čćđšž")]
+#: A letter that is a consonant there, between consonants of one word: an accented vowel that was read wrongly.
+_STUCK = re.compile(r"[bcdfghjklmnpqrstvwxz][čćďęňŕřľĺ][bcdfghjklmnpqrstvwxz]", re.I)
+
+
+def _central(text: str) -> bool:
+    """Whether a text's letters are those of one language of central Europe, in places where that language has them."""
+    letters = {c for c in text.lower() if c > "\x7f" and c.isalpha()}
+    return bool(letters & set("ąćęłńśźżčďěňřšťůžĺľŕőűăşţșțđ")) and any(letters <= x for x in _CENTRAL) and not _STUCK.search(text)
+
+
 def _from_pair(text: str) -> tuple[str, bool]:
     """Words written in one single-byte encoding and read in another, if the field as a whole speaks for one such pair."""
     words = list(dict.fromkeys(_WORD.findall(text)))
@@ -169,7 +224,10 @@ def _from_pair(text: str) -> tuple[str, bool]:
     if sum(costs) < PAIR_DROP or max(costs) < 1.2:
         return text, False
     best, drop = {}, PAIR_DROP
+    sound = _central(text)
     for read, written in PAIRS:
+        if read == "cp1250" and sound:
+            continue
         enc, chars, total, new = _ENCODE[read], _TABLES[written][1], 0.0, {}
         for w, old in zip(words, costs):
             try:
@@ -192,13 +250,15 @@ def repair(text: str | None) -> tuple[str | None, bool]:
     if not text or text.isascii():
         return text, False
     found = "�" in text
-    for _ in range(LAYERS):
+    seen = {text}
+    while True:
         text, hit = _from_utf8(text)
         if not hit:
             text, hit = _from_pair(text)
         found = found or hit
-        if not hit:
+        if not hit or text in seen:
             break
+        seen.add(text)
     return text, found or bool(re.search("[\x80-\x84\x86-\x9f]", text))
 
 

@@ -47,6 +47,24 @@ def test_encoding_layers_and_pairs():
         assert encoding.repair(clean) == (clean, False)
 
 
+WORLD = ["Zażółć gęślą jaźń w Poznaniu", "Škoda auto, příliš žluťoučký kůň", "Güneş ışığı ve çağrı", "και το νερό είναι καλό", "日本語の文章です", "中文测试", "Київ і Львів", "שלום עולם", "مرحبا بالعالم", "Őrült tűzoltó", "Tiếng Việt", "안녕하세요"]
+
+
+@pytest.mark.parametrize("text", WORLD)
+def test_other_languages(text):
+    """Sound text of any language stays; read in the wrong encoding as a whole it comes back."""
+    assert encoding.repair(text) == (text, False) and canonical.canonical(text) == text
+    windows = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode())
+    assert encoding.repair(windows) == (text, True)
+    assert encoding.repair(text.encode().decode("cp437")) == (text, True)
+    assert encoding.repair(text.encode().decode("latin-1")) == (text, True)
+
+
+def test_sound_punctuation_is_no_sequence():
+    for clean in ("Der Gruß“ und Ä“ sagte", "café—“yes” and touché", "„Fuß“, „Straß“", "FÄ“ – À… É» – Ü”", "d’étape, l’équipe"):
+        assert encoding.repair(clean) == (clean, False)
+
+
 # 2 canonical forms
 def test_canonical():
     c = canonical.canonical
