@@ -173,7 +173,7 @@ def _whole_runs(text: str) -> tuple[str, bool]:
                 new = bytes([back[c] for c in run]).decode("utf-8")
             except (KeyError, UnicodeDecodeError):
                 continue
-            kinds = {_script_of(c) for c in new if c.isalpha() or _script_of(c)}
+            kinds = {_script_of(c) for c in new}
             if len(kinds) != 1 or None in kinds or any(ord(c) < 0xA0 for c in new) or all(ord(c) < 0x100 or _new_cost(c) < 1.5 for c in new):
                 continue
             wide = kinds & {"Indic", "Thai", "Georgian", "East Asian"}
