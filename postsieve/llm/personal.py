@@ -4,8 +4,9 @@ Candidate spans (addresses of mail, phone numbers, official numbers, street addr
 a field over each document; a node is on if its span is a personal detail. Node potentials are log-linear: those of names
 come from a model over character pieces and neighbouring words, fitted by stochastic gradient descent on a bounded sample
 (SAMPLE_ROWS rows, documented below), those of the other kinds from pattern and context. Neighbouring name words share a
-chain potential; equal or similar mentions anywhere in the document share a skip potential. Loopy message passing, run in numpy over
-all documents of an Arrow batch at once, makes the labels of a document agree.
+chain potential; equal or similar mentions anywhere in the document share a skip potential; both are fitted on the same sample by
+pseudo-likelihood. Loopy message passing, run in numpy over all documents of an Arrow batch at once, makes the labels of a document
+agree: a number or word that nothing near it tells of is turned by another mention that is sure, and the other way round.
 
 Defined results: null and empty text give no mention and come back as they are. Texts of any length are read whole. Letters
 disguised as others (postsieve.llm.canonical) are read, and come out, in their plain form. Repeated rows give equal results; other
@@ -29,8 +30,12 @@ from postsieve.llm.canonical import canonical
 #: Rows of mail, and as many of reports, from which the name model is fitted; taken by the hash of their id.
 SAMPLE_ROWS = 1500
 BUCKETS = 1 << 17
-#: Potentials between nodes, as log-odds of agreeing.
-CHAIN, SKIP, SIMILAR = 0.9, 1.6, 0.8
+#: Potentials between nodes, as log-odds of agreeing, where none were fitted; and the greatest that a fit may give.
+CHAIN, SKIP, MOST = 0.9, 1.6, 2.5
+#: Potential of a number that has the form of an official or phone number and nothing near it to tell.
+DOUBTFUL = -1.2
+#: Skip potential of equal numbers and addresses, which are the same thing wherever they stand; labelled ones to fit it on don't exist.
+NUMBER = 2.0
 ROUNDS = 5
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -72,6 +77,9 @@ _SURE_ID = re.compile(r"\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2} ?\d{2} ?\d{
 #: Words that announce a person's official number.
 _ID_WORDS = re.compile(r"\bSSN\b|social security|tax (?:id|number)|passport|\bID card|identity|identi|national insurance|\bNINO?\b|Ausweis|Steuer|Sozialversicherung|sécurité sociale|passeport|\bNIR\b|\bDNI\b|\bNIE\b|\bNIF\b|\bCPF\b|contribuinte|seguridad social|documento|pasaporte|passaporte|codice fiscale|carta d.identit|\bBSN\b|burgerservice|paspoort|rijbewijs|ИНН|СНИЛС|паспорт", re.I)
 
+#: Words that announce a number of another kind.
+_NO_ID = re.compile(r"\b(?:[Oo]rder|[Ii]nvoice|[Tt]icket|[Aa]ccount no|[Ii]tem|[Pp]art no|[Rr]elease|[Tt]racking|Bestellung|Rechnung|Auftrag|commande|facture|pedido|factura|fatura|ordine|fattura|bestelling|factuur|заказа?|счета?)\b|№\s*$")
+
 _CAP = r"[A-ZÀ-Þ][\w’'.-]*"
 _TYPES_EN = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Close|Drive|Dr|Boulevard|Blvd|Court|Ct|Way|Place|Pl|Square|Sq|Terrace|Crescent|Row|Hill|Gardens|Parkway|Pkwy|STREET|ST|AVENUE|AVE|ROAD|RD|LANE|BLVD|DRIVE|DR|COURT|WAY|CLOSE)"
 _UNIT = r"(?:,?\s(?:Suite|Ste\.?|Apt\.?|APT|SUITE|Unit|UNIT|Flat|Floor)\s\w+)?"
@@ -125,10 +133,11 @@ def token_pieces(word: str) -> list[int]:
 class NameModel:
     """Log-linear potentials of name words: of the word itself, of the word before and of the word after."""
 
-    def __init__(self, weights: np.ndarray, bound: float | None = None):
-        self.weights = weights
-        #: A word whose own potential is below this stays background: context and neighbours seldom add up to as much.
-        self.least = -2 * CHAIN - 2 * SKIP if bound is None else bound
+    def __init__(self, weights: np.ndarray, context: float = 0.0, chain: float = CHAIN, skip: float = SKIP):
+        self.weights, self.chain, self.skip = weights, chain, skip
+        #: A word whose own potential is below this stays background: its context (`context` at most), two neighbours and two other mentions can't
+        #: add up to as much.
+        self.context_most, self.least = context, -context - 2 * chain - 2 * skip
         self._word: dict[str, float] = {}
         self._context: dict[str, float] = {}
 
@@ -148,6 +157,14 @@ class NameModel:
         return v
 
 
+def _same(word: str) -> str:
+    """What equal mentions of a name have in common: lower case without accents and without an English genitive."""
+    w = word.casefold()
+    if w.endswith(("'s", "’s")):
+        w = w[:-2]
+    return w if w.isascii() else _plain(w)
+
+
 def names_of(text: str) -> list[tuple[int, int, str]]:
     """The capitalised words of a text, as (start, end, word)."""
     return [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
@@ -215,7 +232,35 @@ def fit_names(texts: list[str], lexicon: set[str], epochs: int = 3, seed: int =
             np.add.at(grad2, i, g * g)
             np.add.at(w, i, -0.25 * g / np.sqrt(grad2[i]))
     top = [max((w[bucket[k]] for k in bucket if k[0] == side), default=0.0) for side in "pn"]
-    return NameModel(w, -float(sum(top)) - CHAIN - SKIP / 2)
+    return fit_edges(texts, lexicon, NameModel(w, float(sum(top))), epochs=60)
+
+
+def fit_edges(texts: list[str], lexicon: set[str], model: NameModel, epochs: int) -> NameModel:
+    """The model with chain and skip potentials that maximise the pseudo-likelihood of the sample's labels: of each name word given its own
+    potential and the labels of its neighbours in the field. The prior keeps them small, as words of the lexicon always agree with themselves."""
+    rows, ys = [], []
+    for t in texts:
+        nodes, edges = nodes_of(t, model)
+        y = [1.0 if n[2] == 4 and all(p in lexicon for p in _plain(t[n[0] : n[1]]).split("-")) else -1.0 for n in nodes]
+        chain, skip = np.zeros(len(nodes)), np.zeros(len(nodes))
+        for i, k, j in edges:
+            if j == NUMBER:
+                continue
+            part = chain if j == model.chain else skip
+            share = 1.0 if j in (model.chain, model.skip) else 0.5
+            part[i] += share * y[k]
+            part[k] += share * y[i]
+        rows += [(n[3], c, s) for n, c, s in zip(nodes, chain, skip) if n[2] == 4]
+        ys += [v for n, v in zip(nodes, y) if n[2] == 4]
+    if not rows:
+        return model
+    x, y, w = np.array(rows), np.array(ys), np.array([1.0, CHAIN, SKIP])
+    for e in range(epochs):  # the own potential enters as it is
+        z = x @ w
+        g = -(y / (1 + np.exp(np.clip(y * z, -30, 30)))) @ x / len(y)
+        g[1:] += 0.02 * w[1:]
+        w[1:] = np.clip(w[1:] - 2.0 / (1 + 0.05 * e) * g[1:], 0.05, MOST)
+    return NameModel(model.weights, model.context_most, float(w[1]), float(w[2]))
 
 
 _DIGITS = re.compile(r"\D+")
@@ -279,7 +324,7 @@ def nodes_of(text: str, model: NameModel) -> tuple[list[tuple[int, int, int, flo
             if free(m.start(), m.end()):
                 s, e = m.span()
                 near = bool(_ID_WORDS.search(text, max(0, s - 60), s) or _ID_WORDS.search(text, e, min(len(text), e + 40)))
-                u = (3.0 if _SURE_ID.fullmatch(m.group()) else -4.0) + (6.0 if near else 0.0)
+                u = (3.0 if _SURE_ID.fullmatch(m.group()) else DOUBTFUL) + (3.5 if near else 0.0) - (2.5 if _NO_ID.search(text, max(0, s - 30), s) else 0.0)
                 if u > 0:
                     add(s, e, 2, u, _DIGITS.sub("", m.group()))
                 else:
@@ -300,7 +345,7 @@ def nodes_of(text: str, model: NameModel) -> tuple[list[tuple[int, int, int, flo
     seen: dict[str, int] = {}
     for k, n in enumerate(nodes):
         if (j := seen.get(n[4])) is not None:
-            edges.append((j, k, SKIP))
+            edges.append((j, k, NUMBER))
         seen[n[4]] = k
     last, at, word, least = -9, 0, model.word, model.least
     for s, e, w in names_of(text):
@@ -316,15 +361,18 @@ def nodes_of(text: str, model: NameModel) -> tuple[list[tuple[int, int, int, flo
         if len(w) == 1:
             u -= 2.0
         k = len(nodes)
-        key = w.casefold()
+        key = _same(w)
         nodes.append((s, e, 4, u, key))
         if 0 < s - last <= 2 and text[last:s] in (" ", ", ", "-", ". ", "\n"):
-            edges.append((k - 1, k, CHAIN))
+            edges.append((k - 1, k, model.chain))
         last = e
         if (j := seen.get(key)) is not None:
-            edges.append((j, k, SKIP))
-        elif "-" in key and (j := seen.get(key.split("-")[0])) is not None:
-            edges.append((j, k, SIMILAR))
+            edges.append((j, k, model.skip))
+        elif "-" in key or key[-1:] == "s":  # half of a double name, or a name with the s of a genitive
+            for other in (*key.split("-"), key[:-1]):
+                if (j := seen.get(other)) is not None and other != key:
+                    edges.append((j, k, model.skip / 2))
+                    break
         seen[key] = k
     return nodes, edges
 
@@ -343,8 +391,9 @@ def propagate(u: np.ndarray, src: np.ndarray, dst: np.ndarray, j: np.ndarray, ro
     return u + np.bincount(b, msg, len(u))
 
 
-def label(texts: list[str | None], model: NameModel) -> list[list[tuple[int, int, str]]]:
-    """Mentions (start, end, kind) of each text, by one run of message passing over all of them."""
+def label(texts: list[str | None], model: NameModel, field: bool = True) -> list[list[tuple[int, int, str]]]:
+    """Mentions (start, end, kind) of each text, by one run of message passing over all of them. field: without it every node goes by its own
+    potential alone, to show what the field decides."""
     per, u, src, dst, pot = [], [], [], [], []
     for t in texts:
         nodes, edges = nodes_of(t, model) if t else ([], [])
@@ -355,7 +404,8 @@ def label(texts: list[str | None], model: NameModel) -> list[list[tuple[int, int
             src.append(base + i)
             dst.append(base + k)
             pot.append(j)
-    on = propagate(np.array(u, dtype=float), np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64), np.array(pot, dtype=float)) > 0
+    own = np.array(u, dtype=float)
+    on = (propagate(own, np.array(src, dtype=np.int64), np.array(dst, dtype=np.int64), np.array(pot, dtype=float)) if field else own) > 0
     return [sorted((n[0], n[1], KINDS[n[2]]) for k, n in enumerate(nodes) if on[base + k]) for nodes, base in per]
 
 
@@ -407,7 +457,7 @@ def fit(mail: DataFrame, reports: DataFrame, rows: int = SAMPLE_ROWS) -> NameMod
 
 def find_mentions(df: DataFrame, model: NameModel) -> DataFrame:
     """df(tab, rec_id, text) -> (tab, rec_id, text with placeholders, kinds), one row per row of df whose text isn't null."""
-    held = df.sparkSession.sparkContext.broadcast((model.weights, model.least))  # BUCKETS numbers, whatever the data
+    held = df.sparkSession.sparkContext.broadcast((model.weights, model.context_most, model.chain, model.skip))  # BUCKETS numbers, whatever the data
     schema = "tab string, rec_id long, text string, kinds array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,28 @@ def test_message_passing_is_exact_on_a_chain():
         assert got[i] == pytest.approx(np.log(on / off), abs=1e-6)
 
 
+def test_the_field_decides():
+    """A number with nothing near it to tell goes by its other mention, a weak name by its neighbours and mentions; alone they don't."""
+    m = personal.NameModel(np.zeros(personal.BUCKETS) - 1)
+    text = "His passport number is 961579212. " + "All of this was said before in some other place. " * 2 + "We noted 961579212 on Monday and 961579213 on Tuesday."
+    on, off = (personal.label([text], m, field=f)[0] for f in (True, False))
+    assert [text[s:e] for s, e, _ in on] == ["961579212", "961579212"] and [text[s:e] for s, e, _ in off] == ["961579212"]
+    weights = np.zeros(personal.BUCKETS)
+    for w, x in (("w=brandt", 20.0), ("w=ysolde", -0.8)):
+        weights[personal._bucket(w)] = x
+    m = personal.NameModel(weights, chain=0.9, skip=1.6)
+    on, off = (personal.label(["we met Ysolde Brandt"], m, field=f)[0] for f in (True, False))
+    assert len(on) == 2 and len(off) == 1
+
+
+def test_edges_are_fitted():
+    names = {"brandt", "ysolde", "petra", "holm"}
+    texts = [f"Dear {a} {b}, the Report of {c} is due. {a} agreed." for a in ("Ysolde", "Petra") for b in ("Brandt", "Holm") for c in ("Monday", "Friday", "March")] * 4
+    m = personal.fit_names(texts, names)
+    assert 0.05 <= m.chain <= personal.MOST and 0.05 <= m.skip <= personal.MOST and m.least < -2 * m.chain - 2 * m.skip + 1e-9
+    assert [texts[0][s:e] for s, e, _ in personal.label([texts[0]], m)[0]] == ["Ysolde", "Brandt", "Ysolde"]
+
+
 def test_personal_names(spark, data):
     m, r = table(spark, data, "enron_dataset"), table(spark, data, "arf_result")
     found = personal.found(m, r)
