@@ -295,6 +295,24 @@ def test_packing(capacity):
             assert lengths.sum() / (capacity * len(sums)) > 0.97
 
 
+def test_packing_is_never_worse_than_best_fit_and_gains():
+    rng = np.random.default_rng(11)
+    lengths = np.clip(rng.normal(600, 260, 6000).astype(int), 60, 2048)
+    shares = []
+    where = packing.pack(lengths, 2048, shares)
+    used, built, alone = shares[0]
+    assert where.max() + 1 == used <= alone and built > used // 2 and used * 2048 >= lengths.sum()
+    assert used < alone
+
+
+def test_configurations_reach_the_optimum():
+    """Three sizes whose best packing is known: every container holds 5 + 3 + 2."""
+    demand = np.array([30.0, 30.0, 30.0])
+    got = packing.configurations(np.array([50, 30, 20]), demand, 100)
+    assert sum(n for n, _ in got) == pytest.approx(30)
+    assert all((c * np.array([50, 30, 20])).sum() <= 100 for _, c in got)
+
+
 def test_packed_documents(spark, data):
     docs, kinds = table(spark, data, "documents"), table(spark, data, "pack_capacity")
     p = packing.packed(docs.withColumn("container", F.lit("clash")).withColumn("shard", F.lit(1)), kinds)
