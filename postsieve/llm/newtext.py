@@ -13,6 +13,7 @@ equal results, other columns are ignored.
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,25 +64,52 @@ _DELIMITER = re.compile(r"^\s*(?:--|—|–|\*{3}|_{5,15}|-{3,12}|={3,12}|~{3,12
 _W = r"[^\W\d_a-zà-ÿа-я][\w’'-]*\.?"
 _NAME = re.compile(rf"^\s*[\"“]?(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau)\.?\s)?{_W}(?:\s(?:van|von|de|der|du|di|da|el|le)\s|\s|,\s)?(?:{_W})?(?:[\s-]{_W}){{0,2}}[\"”]?\s*(?:\([^)\n]{{2,40}}\))?\s*[,.]?\s*$")
 _CARD = re.compile(rf"^\s*{_W}(?:\s{_W}){{1,3}}\s+[|/·•]\s+\S.*$|^\s*{_W}(?:\s{_W}){{0,2}}\s/\s{_W}\s(?:office|Office|Büro|bureau|oficina|ufficio|kantoor|escritório|офис)\s*$")
-_CONTACT = re.compile(r"\+?\d[\d ().-]{6,}|@|https?://|www\.|\b(?:Tel|Phone|Fax|Mobile|Cell|Тел)\b|\bext\.|\bthree one two\b", re.I)
+_CONTACT = re.compile(r"\+?\d[\d ().-]{6,}|@|https?://|www\.|\b(?:Tel|Phone|Fax|Mobile|Cell|Тел)\b|\bext\.|\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?:[ -](?:zero|oh|one|two|three|four|five|six|seven|eight|nine)){2}", re.I)
 _LABEL = re.compile(r"^\s*(?:From|Von|De|Da|Van|От|Subject|Re|RE|Fwd|AW|WG|PS|P\.S\.)\b")
 
 #: Words that only legal notices about a mail use. Two different ones in a paragraph make a notice.
 _LEGAL = [
     re.compile(p, re.I)
     for p in (
-        r"confidential|privileged|private to|advisers|vertraulich|confidentiel|confidencial|riservat|confidenz|vertrouwelijk|конфиденциальн|secreto profesional|secret professionnel|Berufsgeheimnis|segreto|beroepsgeheim|sigilo|тайн",
-        r"intended (?:only|solely)|meant solely|(?:named |intended )?(?:addressee|recipient)|für den (?:genannten |bestimmten )?(?:Empfänger|Adressat)|Empfänger bestimmt|destinataire|destinatario|destinatári|geadresseerde|bestemd voor|предназначен|адресат|получател",
-        r"in error|by mistake|irrtümlich|versehentlich|par erreur|por error|por engano|per errore|abusievelijk|ten onrechte|per vergissing|по ошибке|not that person|not the (?:intended|named)|not the addressee|wrong hands",
+        r"confidential|privileged|\bprivate\b|vertraulich|confidentiel|confidencial|riservat|confidenz|vertrouwelijk|конфиденциальн|secreto profesional|secret professionnel|Berufsgeheimnis|segreto|beroepsgeheim|sigilo|тайн",
+        r"intended (?:only|solely)|meant solely|(?:named |intended )?(?:addressee|recipient)|für den (?:genannten |bestimmten )?(?:Empfänger|Adressat)|Empfänger bestimmt|destinataire|intention exclusive|uso exclusivo|uso esclusivo|uitsluitend|ausschließlich für|исключительно для|destinatario|destinatári|geadresseerde|bestemd voor|предназначен|адресат|получател",
+        r"in error|by mistake|irrtümlich|versehentlich|par erreur|por error|por engano|per errore|abusievelijk|ten onrechte|per vergissing|по ошибке|\bnot (?:the|that) (?:intended|named|addressee|person|recipient)|if you are not|wenn Sie nicht|si vous n.êtes pas|si (?:usted )?no es|se non (?:è|siete)|se não (?:é|for)|(?:als|indien) u niet|если вы не|wrong (?:person|address|hands)",
         r"forbidden|prohibited|unauthori[sz]ed|strictly|untersagt|nicht gestattet|verboten|interdite?|prohibida|proibid|vietat|verboden|niet toegestaan|запрещен|не допускается",
         r"delete|destroy|copies|copying|löschen|vernichten|supprimer|détruire|borrar|elimin|destruir|apag|cancellar|verwijder|удалит|уничтож",
         r"disclos|distribut|dissemination|reliance|Weitergabe|Verbreitung|divulgation|diffusion|difusión|divulgación|divulgaç|diffusione|verspreid|openbaar|распростран|разглаш|копирован|пересыл",
         r"binding|monitor|liab|virus|haft|Erklärungen per E-Mail|binden|responsab|aansprakelijk|ответственност|no responde|mailverkeer|bindend|обязательств|property of|propiedad|Eigentum|propriété|proprietà|eigendom|propriedade|собственност",
-        r"\bthis (?:e-?mail|message|transmission|communication)|any information in this|content of this|diese[rs]? (?:E-?Mail|Nachricht|Mitteilung)|ce (?:message|courriel|mail)|cet? (?:e-?mail)|este (?:mensaje|correo|e-?mail)|esta (?:mensagem|comunicaci)|questo (?:messaggio|e-?mail)|questa (?:e-?mail|comunicazione)|dit (?:bericht|e-?mail)|deze (?:e-?mail|boodschap)|это (?:письмо|сообщение)|данное (?:письмо|сообщение)|настоящее|nothing herein|mail samt|et ses (?:pièces|annexes)|ses pièces jointes|y sus (?:adjuntos|anexos)|e seus anexos|i suoi allegati|en de bijlagen",
+        r"\bthis (?:e-?mail|message|transmission|communication)|any information in this|content of this|diese[rs]? (?:E-?Mail|Mail|Nachricht|Mitteilung)|(?:ce|présente?) (?:message|courriel|mail|communication)|cet? (?:e-?mail)|este (?:mensaje|correo|e-?mail)|esta (?:mensagem|comunicaci)|questo (?:messaggio|e-?mail)|questa (?:e-?mail|comunicazione)|dit (?:bericht|e-?mail)|deze (?:e-?mail|boodschap)|это (?:письмо|сообщение)|данное (?:письмо|сообщение)|настоящее|nothing herein|samt (?:ihren |allen )?Anh[äa]ng|et ses (?:pièces|annexes)|ses pièces jointes|y sus (?:adjuntos|anexos)|e seus anexos|i suoi allegati|en de bijlagen",
     )
 ]
 
 
+def _stems(pattern: re.Pattern) -> list[str]:
+    """A text that the pattern matches holds one of these, in lower case: the longest plain run of each of its alternatives."""
+    tree = _parser.parse(pattern.pattern)
+    branches = next((x[1][1] for x in tree if x[0] is _parser.BRANCH), [tree]) if len(tree) == 1 else [tree]
+    out = []
+    for b in branches:
+        runs = "".join(chr(v) if op is _parser.LITERAL else "\n" for op, v in b).lower().split("\n")
+        out.append(max(runs, key=len))
+    return out
+
+
+_LEGAL_STEMS = [_stems(p) for p in _LEGAL]
+
+
+def _may_be_legal(text: str) -> bool:
+    """Whether stems of three kinds of legal words are there; every text of a legal score of 3 passes."""
+    low, found = text.lower(), 0
+    for stems in _LEGAL_STEMS:
+        for s in stems:
+            if s in low:
+                found += 1
+                break
+        if found == 3:
+            return True
+    return False
+
+
 def _legal_score(text: str) -> int:
     return sum(bool(p.search(text)) for p in _LEGAL)
 
@@ -182,7 +210,8 @@ _BORDER = re.compile(r"^\s*[*_=#-]{10,}\s*$")
 
 def _disclaimers(lines: list[str], part: list[str]) -> None:
     for i, j in _paragraphs(lines, part):
-        if not _LEGAL_HINT.search("\n".join(lines[i:j])):
+        whole = " ".join(lines[i:j])
+        if not _may_be_legal(whole) or _legal_score(whole) < 3:
             continue
         # a notice may share a paragraph with other text: it begins at a border or where its own words begin
         cuts = [i] + [k for k in range(i + 1, j) if _BORDER.match(lines[k])] + [j]
@@ -202,19 +231,15 @@ def _disclaimers(lines: list[str], part: list[str]) -> None:
                 part[end] = "disclaimer"
 
 
-#: One of these is in every notice; cheap to test before the rest.
-_LEGAL_HINT = re.compile(r"private to|PRIVATE TO|in error|IN ERROR|by mistake|BY MISTAKE|rrtümlich|RRTÜMLICH|rreur|RREUR|or error|OR ERROR|or engano|OR ENGANO|er errore|ER ERRORE|ergissing|ERGISSING|о ошибке|О ОШИБКЕ|onfiden|ONFIDEN|privileg|PRIVILEG|ertraulich|ERTRAULICH|ertrouwelijk|ERTROUWELIJK|iservat|ISERVAT|онфиденц|ОНФИДЕНЦ|addressee|ADDRESSEE|ecipient|ECIPIENT|estinat|ESTINAT|mpfänger|MPFÄNGER|eadresseerde|EADRESSEERDE|redназнач|предназнач|ПРЕДНАЗНАЧ|адресат|АДРЕСАТ|rohibid|ROHIBID|roibid|ROIBID|orbidden|ORBIDDEN|ntersagt|NTERSAGT|ietat|IETAT|nterdite|NTERDITE|erboden|ERBODEN|апрещ|АПРЕЩ")
-
-
 def _signatures(lines: list[str], part: list[str]) -> None:
     n = len(lines)
 
-    def run(i: int, limit: int = 12) -> int:
-        """End of the block that begins at i: as long as its lines are new and short."""
+    def run(i: int) -> int:
+        """End of the block that begins at i: as long as its lines are new and short, however many they are."""
         k = i
-        while k < n and part[k] == "new" and lines[k].strip() and k - i < limit:
+        while k < n and part[k] == "new" and lines[k].strip() and len(lines[k].strip()) < 110:
             k += 1
-        return k
+        return max(k, i + 1)
 
     for i in range(n):
         if part[i] != "new":
@@ -243,12 +268,12 @@ def _signatures(lines: list[str], part: list[str]) -> None:
                 part[i:end] = ["signature"] * (end - i)
             continue
         if len(text) <= 110 and _CARD.match(line):
-            end = run(i, 6)
+            end = run(i)
             if _CONTACT.search("\n".join(lines[i:end])) or " / " in text:
                 part[i:end] = ["signature"] * (end - i)
             continue
         if len(text) <= 45 and _NAME.match(line) and i and not lines[i - 1].strip() and not _LABEL.match(line):
-            end = run(i, 8)
+            end = run(i)
             rest = lines[i + 1 : end]
             if rest and all(len(x) < 75 for x in rest) and _CONTACT.search("\n".join(rest)) and not any(x.rstrip().endswith((".", "?", "!")) and len(x) > 45 for x in rest):
                 part[i:end] = ["signature"] * (end - i)

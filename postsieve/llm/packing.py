@@ -268,6 +268,7 @@ def _packed(docs: DataFrame, capacities: DataFrame, path: str | None = None) ->
     shards = max(1, -(-docs.count() // SHARD))
     sized = token_counts(docs, path).groupBy("doc_id").agg(F.max("tokens").alias("tokens")).where("tokens > 0")
     dealt = sized.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(each).alias("kind")).select("doc_id", "tokens", "shard", "kind.container", "kind.capacity")
+    dealt = dealt.repartition(int(min(10_000, max(1, 2 * shards * len(kinds)))), "container", "shard")  # as many tasks as there are shards to pack, however few bytes they are
     done = cut_lineage(dealt.groupBy("container", "shard").applyInArrow(_pack_shard, _PACKED))
     sizes = done.groupBy("container", "shard").agg((F.max("local") + 1).alias("used"), F.max("built").alias("built"), F.max("alone").alias("alone"))
     before = F.sum("used").over(Window.partitionBy("container").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))

@@ -160,6 +160,22 @@ def test_newly_written():
     assert newtext.parts_of("ok\nSent from my phone") == ["signature"] and newtext.parts_of(None) == [] and newtext.newly_written("") == ""
 
 
+def test_notices_and_long_signatures():
+    notice = "Le présent courriel est établi à l’intention exclusive de ses destinataires et est confidentiel. Toute diffusion est interdite."
+    assert newtext.parts_of("Bonjour,\n\noui.\n\n" + notice) == ["disclaimer"] and newtext.newly_written("Oui.\n\n" + notice) == "Oui."
+    block = "\n".join(["Ysolde Brandt", *(f"Line {i} of the office" for i in range(20)), "Tel: +1 919 555 0146"])
+    assert newtext.newly_written("My answer.\n\nKind regards\n" + block) == "My answer."
+    assert newtext.parts_of("The contract is strictly between us and binding for both, we think.") == []
+
+
+def test_the_gate_loses_no_notice():
+    rng = random.Random(2)
+    words = [s.strip() for stems in newtext._LEGAL_STEMS for s in stems if s] + ["and", "the", "mail", "we"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 8)))
+        assert newtext._legal_score(text) < 3 or newtext._may_be_legal(text)
+
+
 # 5 near-duplicates
 def shingles(text, w):
     words = re.findall(r"[^\W_]+", text.lower())
