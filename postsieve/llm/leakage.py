@@ -5,8 +5,9 @@ added. By the pigeonhole principle a run split into errors + 1 pieces then has a
 length of the shortest piece, are looked up in each document, and every hit is verified with Myers' bit-parallel edit
 distance over words. Case, punctuation, line breaks, hyphens at line ends and page headers don't count.
 
-Items are sent to the tasks as hashed words. Their number is checked: beyond ITEM_WORDS words they are taken in blocks, one
-pass over the documents for each.
+Items are sent to the tasks as one index of hashed words, made once. Their number is checked: beyond ITEM_WORDS words they are taken in
+blocks, one pass over the documents for each. An n-gram that many items share is expanded in numpy, and items with too few hits to hold a run are
+dropped before any is verified.
 
 Defined results: null and blank texts match nothing, nor do items of fewer than `run` words. Repeated rows give one pair. Very long
 texts are read whole. Extra columns are ignored; empty tables give an empty result.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from postsieve.llm.arrow import batch_of
 from postsieve.llm.truncated import PAGE_HEAD
 
-#: Words of items sent to the tasks at once; about 16 bytes each.
+#: Words of items sent to the tasks at once; about 24 bytes each.
 ITEM_WORDS = 2_000_000
 RUN, ERRORS = 20, 2
 
@@ -116,67 +118,111 @@ def holds(item: list[int], doc: list[int], q: int, p: int, piece: int, run: int,
     return False
 
 
+@dataclass
 class Index:
-    """The items' n-grams, sorted, with the item and place of each."""
-
-    def __init__(self, ids: list[int], words: list[np.ndarray], run: int = RUN, errors: int = ERRORS):
-        self.run, self.errors, self.piece = run, errors, run // (errors + 1)
-        keep = [(i, w) for i, w in zip(ids, words) if len(w) >= run]
-        self.ids = [i for i, _ in keep]
-        self.words = [w.tolist() for _, w in keep]
-        g = [grams(w, self.piece) for _, w in keep]
-        key = np.concatenate(g) if g else np.zeros(0, dtype=np.uint64)
-        item = np.repeat(np.arange(len(keep)), [len(x) for x in g]) if g else np.zeros(0, dtype=np.int64)
-        place = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, dtype=np.int64)
+    """The items' n-grams, sorted, with the item and place of each, as plain arrays: made once, on the driver, and read by all tasks."""
+
+    run: int
+    errors: int
+    ids: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    key: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+    @property
+    def piece(self) -> int:
+        return self.run // (self.errors + 1)
+
+    @classmethod
+    def of(cls, ids: list[int], words: list[np.ndarray], run: int = RUN, errors: int = ERRORS) -> Index:
+        n, keep = run // (errors + 1), [(i, w) for i, w in zip(ids, words) if len(w) >= run]
+        g = [grams(w, n) for _, w in keep]
+        none = np.zeros(0, dtype=np.uint64)
+        key = np.concatenate(g) if g else none
+        item = np.repeat(np.arange(len(keep), dtype=np.int32), [len(x) for x in g]) if g else none.astype(np.int32)
+        place = np.concatenate([np.arange(len(x), dtype=np.int32) for x in g]) if g else none.astype(np.int32)
         order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], item[order], place[order]
+        starts = np.cumsum([0, *(len(w) for _, w in keep)])
+        return cls(run, errors, np.array([i for i, _ in keep], dtype=np.int64), np.concatenate([w for _, w in keep]) if keep else none, starts, key[order], item[order], place[order])
+
+    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in the item and place in the document of every n-gram that both hold, of the items that hold enough of them: `errors` edits
+        spoil at most errors * piece of the run - piece + 1 n-grams of a run. Frequent n-grams are expanded in numpy, in slices of bounded size."""
+        g = grams(doc, self.piece)
+        lo, hi = np.searchsorted(self.key, g), np.searchsorted(self.key, g, "right")
+        at = np.flatnonzero(hi > lo)
+        if not len(at):
+            return (np.zeros(0, dtype=np.int64),) * 3
+        lo, many = lo[at], hi[at] - lo[at]
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) // 4_000_000)) + 1
+        total = np.zeros(len(self.ids), dtype=np.int64)
+        parts = list(zip(np.split(at, cuts), np.split(lo, cuts), np.split(many, cuts)))
+
+        def expand(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+        for _, first, n in parts:
+            total += np.bincount(self.item[expand(first, n)], minlength=len(total))
+        enough = total >= max(1, self.run - self.piece + 1 - self.errors * self.piece)
+        out = []
+        for where, first, n in parts:
+            k = expand(first, n)
+            ok = enough[self.item[k]]
+            out.append((self.item[k][ok], self.place[k][ok], np.repeat(where, n)[ok]))
+        item, place, pos = (np.concatenate(x).astype(np.int64) for x in zip(*out))
+        return item, place, pos
 
     def matches(self, doc: np.ndarray) -> list[int]:
         """Ids of the items that the document holds."""
         if len(doc) < self.run - self.errors or not len(self.key):
             return []
-        g = grams(doc, self.piece)
-        lo = np.searchsorted(self.key, g)
-        hit = np.flatnonzero(self.key[np.minimum(lo, len(self.key) - 1)] == g)
-        if not len(hit):
-            return []
-        got: set[int] = set()
-        tried: dict[tuple[int, int], int] = {}
-        words = doc.tolist()
-        for p in hit.tolist():
-            k = int(lo[p])
-            while k < len(self.key) and self.key[k] == g[p]:
-                i, q = int(self.item[k]), int(self.place[k])
-                k += 1
-                if i in got or tried.get((i, p - q), -9) == p - 1:
-                    # the next place on a diagonal that failed: only a run that reaches further can be new
-                    if i in got or not self._further(i, q):
-                        continue
-                tried[(i, p - q)] = p
-                if holds(self.words[i], words, q, p, self.piece, self.run, self.errors):
-                    got.add(i)
-        return [self.ids[i] for i in got]
-
-    def _further(self, i: int, q: int) -> bool:
-        return q + self.run <= len(self.words[i])
+        item, place, pos = self.hits(doc)
+        got: list[int] = []
+        words = None
+        order = np.lexsort((place, pos - place, item))
+        item, place, pos = item[order], place[order], pos[order]
+        cuts = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]).tolist() + [len(item)] if len(item) else []
+        for a, z in zip(cuts, cuts[1:]):
+            i = int(item[a])
+            own = self.words[self.starts[i] : self.starts[i + 1]].tolist()
+            words = doc.tolist() if words is None else words
+            tried: dict[int, int] = {}
+            for q, p in zip(place[a:z].tolist(), pos[a:z].tolist()):
+                # the next place on a diagonal that failed: only a run that reaches further can be new
+                if tried.get(p - q, -9) == p - 1 and q + self.run > len(own):
+                    tried[p - q] = p
+                    continue
+                tried[p - q] = p
+                if holds(own, words, q, p, self.piece, self.run, self.errors):
+                    got.append(int(self.ids[i]))
+                    break
+        return got
 
 
 def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, errors: int = ERRORS) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id): which document holds which item."""
     spark = docs.sparkSession
-    usable = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = usable.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(total) // ITEM_WORDS))
+    usable = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("n", F.size(F.split("text", r"\s+")))
+    sizes = usable.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    blocks = max(1, -(-int(sizes["total"] or 0) // ITEM_WORDS))
+    part_of = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n))
+    while blocks > 1:  # no block may hold more than twice ITEM_WORDS, or one item
+        most = usable.groupBy(part_of(blocks).alias("b")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+        if most <= max(2 * ITEM_WORDS, sizes["most"]) or blocks > 100_000:
+            break
+        blocks *= 2
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
 
     def one(block: int) -> DataFrame:
-        part = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
+        part = usable if blocks == 1 else usable.where(part_of(blocks) == block)
         read = Words()
-        rows = [(r["item_id"], read(r["text"])) for r in part.collect()]  # at most about ITEM_WORDS words
-        held = spark.sparkContext.broadcast(([i for i, _ in rows], [w for _, w in rows]))
+        rows = [(r["item_id"], read(r["text"])) for r in part.select("item_id", "text").collect()]
+        held = spark.sparkContext.broadcast(Index.of([i for i, _ in rows], [w for _, w in rows], run, errors))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, own = Index(*held.value, run, errors), Words()
+            index, own = held.value, Words()
             for b in batches:
                 out = []
                 for i, t in zip(*(c.to_pylist() for c in b.columns)):

@@ -385,6 +385,24 @@ def test_leaks(spark):
     assert leakage.found(d, i.limit(0)).count() == 0 and leakage.found(d.limit(0), i).count() == 0
 
 
+def test_leaks_with_a_frequent_passage_against_brute_force():
+    """All items share a long passage; documents hold parts of items with words changed, dropped and added."""
+    rng = random.Random(4)
+    shared = [rng.randrange(50) for _ in range(25)]
+    items = [[rng.randrange(400) for _ in range(20)] + shared[: rng.randint(0, 25)] + [rng.randrange(400) for _ in range(20)] for _ in range(10)]
+    index = leakage.Index.of(list(range(10)), [np.array(x, dtype=np.uint64) for x in items])
+    for _ in range(12):
+        x = rng.choice(items)
+        a = rng.randint(0, len(x) - 18)
+        part = x[a : a + rng.randint(15, 30)]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(part))
+            part[k : k + rng.randint(0, 1)] = [rng.randrange(400) for _ in range(rng.randint(0, 1))]
+        doc = [rng.randrange(400) for _ in range(8)] + part + shared[5:14] + [rng.randrange(400) for _ in range(8)]
+        want = {i for i, y in enumerate(items) if any(naive_edit(y[s : s + 20], doc) <= 2 for s in range(len(y) - 19))}
+        assert set(index.matches(np.array(doc, dtype=np.uint64))) == want
+
+
 # 10 cut texts
 def test_endings():
     for cut in ("It follows that the bur", "A sentence. The claim was held [more]", "one. In those...", "x.\n\n(6) Mit Schreiben vom 13. November 2002", "a. Am 9.", "done, see Art.", "a�"):
