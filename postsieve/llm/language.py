@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postsieve.llm import encoding
 from postsieve.llm.canonical import canonical
+from postsieve.llm.deliveries import first_deliveries
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "ru")
 SAMPLE_ROWS = 4000
@@ -138,7 +139,7 @@ class Reader:
                 n = 0
             else:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        p = pieces(word[:40])
+        p = pieces(word)
         self.rows[n, :-1] = self.table[p].sum(0)
         self.rows[n, -1] = len(p)
         self.known[word] = n
@@ -270,11 +271,11 @@ def _merge(sents: list[list[str]], p: np.ndarray, threshold: float) -> list[tupl
     return [(LANGUAGES[q], float(m / n), n) for q, m, n in out]
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("stretches", pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())])))])
+_SCHEMA = pa.schema([("id", pa.int64()), ("declared", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("stretches", pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("words", pa.int32())])))])
 
 
 def detect(df: DataFrame, model: Model) -> DataFrame:
-    """df(id, text) -> (id, lang, confidence, stretches): the language of most words, and every stretch of one language.
+    """df(id, text[, declared]) -> (id, declared, lang, confidence, stretches): the language of most words, and every stretch of one language.
 
     lang is null and stretches empty where nothing is written in a language the model is sure of.
     """
@@ -285,32 +286,31 @@ def detect(df: DataFrame, model: Model) -> DataFrame:
         reader = Reader(*held.value)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                ids, texts = (c.to_pylist() for c in b.slice(lo, 500).columns)
+                ids, said, texts = (c.to_pylist() for c in b.slice(lo, 500).columns)
                 sents = [sentences(_clean(t)) if t else [] for t in texts]
                 p = reader.read([s for d in sents for s in d])
                 at, rows = 0, []
-                for i, d in zip(ids, sents):
+                for i, x, d in zip(ids, said, sents):
                     got = _merge(d, p[at : at + len(d)], threshold)
                     at += len(d)
                     words: dict[str, list[float]] = {}
                     for lang, c, n in got:
-                        x = words.setdefault(lang, [0, 0.0])
-                        x[0] += n
-                        x[1] += c * n
+                        w = words.setdefault(lang, [0, 0.0])
+                        w[0] += n
+                        w[1] += c * n
                     top = max(words, key=lambda k: (words[k][0], k)) if words else None
-                    rows.append((i, top, words[top][1] / words[top][0] if top else None, [{"lang": a, "confidence": c, "words": n} for a, c, n in got]))
-                cols = list(zip(*rows)) if rows else [()] * 4
+                    rows.append((i, x, top, words[top][1] / words[top][0] if top else None, [{"lang": a, "confidence": c, "words": n} for a, c, n in got]))
+                cols = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
-    return df.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, lang string, confidence double, stretches array<struct<lang:string,confidence:double,words:int>>")
+    declared_ = F.col("declared") if "declared" in df.columns else F.lit(None).cast("string")
+    return df.select(F.col("id").cast("long"), declared_.alias("declared"), "text").mapInArrow(run, "id long, declared string, lang string, confidence double, stretches array<struct<lang:string,confidence:double,words:int>>")
 
 
 def label_mail(mail: DataFrame) -> DataFrame:
-    """(id, declared, lang, confidence, stretches) of every message with text."""
-    texts = mail.where("message is not null and message <> '' and id is not null")
-    found_ = detect(texts.select("id", F.col("message").alias("text")), train(mail))
-    said = texts.groupBy("id").agg(F.min(declared(F.col("lang"))).alias("declared"))
-    return found_.dropDuplicates(["id"]).join(said, "id").select("id", "declared", "lang", "confidence", "stretches")
+    """(id, declared, lang, confidence, stretches) of every message with text, of the first delivery where several differ."""
+    texts = first_deliveries(mail.where("message is not null and message <> '' and id is not null").select("id", "message", "lang", "loaded_at"), "id", "message", "lang")
+    return detect(texts.select("id", F.col("message").alias("text"), declared(F.col("lang")).alias("declared")), train(mail)).dropDuplicates(["id"])
 
 
 def found(mail: DataFrame) -> DataFrame:

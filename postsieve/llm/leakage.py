@@ -205,12 +205,13 @@ def leaked(docs: DataFrame, items: DataFrame, run: int = RUN, errors: int = ERRO
     """docs(doc_id, text), items(item_id, text) -> (doc_id, item_id): which document holds which item."""
     spark = docs.sparkSession
     usable = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("n", F.size(F.split("text", r"\s+")))
-    sizes = usable.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    usable = usable.dropDuplicates(["item_id", "text"])
+    sizes = usable.groupBy("item_id").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     blocks = max(1, -(-int(sizes["total"] or 0) // ITEM_WORDS))
     part_of = lambda n: F.pmod(F.xxhash64("item_id"), F.lit(n))
     while blocks > 1:  # no block may hold more than twice ITEM_WORDS, or one item
         most = usable.groupBy(part_of(blocks).alias("b")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
-        if most <= max(2 * ITEM_WORDS, sizes["most"]) or blocks > 100_000:
+        if most <= max(2 * ITEM_WORDS, sizes["most"]) or blocks > 10_000:
             break
         blocks *= 2
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")

@@ -293,6 +293,14 @@ def test_language_held_out(spark, data):
     assert language.stretches("", reader, 0.5) == [] and language.stretches("123 -- 4", reader, 0.5) == []
 
 
+def test_language_of_redelivered_mail(spark, data):
+    m = table(spark, data, "enron_dataset").select("id", "subject", "message", "lang", "loaded_at")
+    later = [(10**9, "", "Die Sitzung findet morgen in dem großen Raum statt und wir haben noch keine Antwort von euch.", "en", AT + dt.timedelta(days=k)) for k in (5, 1)]
+    first = [(10**9, "", "The meeting is now in the large room and we counted three open items of the list.", "en", AT)]
+    got = language.found(m.union(spark.createDataFrame(later + first, m.schema))).where("id = 1000000000").collect()
+    assert got == []
+
+
 def test_declared_codes(spark):
     want = {"en": "en", "ENG": "en", "nl_NL": "nl", "de-AT": "de", "und": None, "xx": None, "??": None, "": None, "unknown": None, " fra ": "fr", None: None}
     got = spark.createDataFrame([(k,) for k in want], "c string").select("c", language.declared(F.col("c")).alias("d")).collect()
