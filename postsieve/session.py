@@ -58,6 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables, on any file system that Spark knows; one that isn't there is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _shipped: set[str] = set()
 
 
