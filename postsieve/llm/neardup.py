@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.deliveries import SMALL, first_deliveries
-from postsieve.session import cut_lineage, shared_dir
+from postsieve.session import cut_lineage, drop_folder, shared_dir
 
 _WORDS = re.compile(r"[^\W_]+")
 _A, _B, _C, _M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
@@ -435,7 +435,10 @@ def similar(df: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame,
     wanted = F.broadcast(wanted) if 2 * likely.count() <= SMALL else wanted  # else both sides are shuffled
     full = sets.select("id", "values").join(wanted, "id", "left_semi").dropDuplicates(["id"])
     both = likely.join(full.select(F.col("id").alias("a"), F.col("values").alias("va")), "a").join(full.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b")
-    links = both.select("a", "b", "va", "vb").mapInArrow(_verify(settings), "a long, b long, similarity double")
+    links = cut_lineage(both.select("a", "b", "va", "vb").mapInArrow(_verify(settings), "a long, b long, similarity double"))
+    members = cut_lineage(members)
+    held.destroy()
+    drop_folder(spark, folder)
     return links, members
 
 
@@ -452,7 +455,6 @@ def _within(members: DataFrame, block: int = 1000) -> DataFrame:
 def pairs_of(df: DataFrame, settings: Settings) -> DataFrame:
     """(id_a, id_b) with id_a < id_b of all records, copies included, that are similar enough."""
     links, members = similar(df, settings)
-    members = cut_lineage(members)
     a, b = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = links.join(a, "a").join(b, "b").select("x", "y")
     return across.union(_within(members)).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -465,9 +467,7 @@ def groups_of(df: DataFrame, settings: Settings, rounds: int | None = None) -> D
     nothing changes; an error tells if that takes more than `rounds`. Each round is cut by a checkpoint; nothing is gathered on the driver but one number.
     """
     links, members = similar(df, settings)
-    members = cut_lineage(members)
-    links = cut_lineage(links.select("a", "b"))
-    both = cut_lineage(links.union(links.select(F.col("b"), F.col("a"))))
+    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))))
     label = cut_lineage(both.select(F.col("a").alias("v")).distinct().withColumn("g", F.col("v")))
     for done in count(1):
         near = both.join(label.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
