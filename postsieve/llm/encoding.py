@@ -119,6 +119,10 @@ _TABLES = {n: _table(n) for n in {*READ_AS, *(x for p in PAIRS for x in p)}}
 _ENCODE = {n: {ord(c): b for c, b in t[0].items()} | {i: i for i in range(128)} for n, t in _TABLES.items()}
 
 
+#: Characters that stand for the first byte of a UTF-8 sequence, and for one that follows, in each encoding.
+_BYTES = {n: (frozenset(c for c, b in t[0].items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in t[0].items() if 0x80 <= b <= 0xBF)) for n, t in _TABLES.items()}
+
+
 def _new_cost(c: str) -> float:
     """Cost of a decoded character in a text of Western or Russian letters; other scripts are a matter of _whole_runs."""
     n = ord(c)
@@ -163,11 +167,16 @@ def _script_of(c: str) -> str | None:
 def _whole_runs(text: str) -> tuple[str, bool]:
     """Runs that decode strictly, as a whole and for one encoding, to letters of one script beyond Western and Russian. A text must hold two sequences of
     them, or one inside a word that no sound text would hold; of the scripts with sequences of three bytes two in a row."""
+    places: dict[str, list[int]] = {}
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() > 1:
+            places.setdefault(m.group(), []).append(m.end())
+    if not places:
+        return text, False
     for name in READ_AS:
-        back, found, sure = _TABLES[name][0], {}, 0
-        for m in _RUN.finditer(text):
-            run = m.group()
-            if len(run) < 2 or run in found or _ALIKE.issuperset(run):
+        back, lead, more, found, sure = _TABLES[name][0], *_BYTES[name], {}, 0
+        for run, ends in places.items():
+            if run[0] not in lead or run[1] not in more or _ALIKE.issuperset(run):
                 continue
             try:
                 new = bytes([back[c] for c in run]).decode("utf-8")
@@ -179,7 +188,7 @@ def _whole_runs(text: str) -> tuple[str, bool]:
             wide = kinds & {"Indic", "Thai", "Georgian", "East Asian"}
             if wide and len(new) < 2 or run[0] in _MAY_FOLLOW and len(new) < 3:
                 continue
-            inside = m.end() < len(text) and text[m.end()].isalpha() or not any(c in _MAY_FOLLOW for c in run)
+            inside = any(e < len(text) and text[e].isalpha() for e in ends) or not any(c in _MAY_FOLLOW for c in run)
             found[run] = new
             sure += 2 if inside or len(new) > 1 + bool(kinds & {"Latin"}) else 1
         if sure > 1:
@@ -194,8 +203,13 @@ def _from_utf8(text: str) -> tuple[str, bool]:
     def one(m: re.Match) -> str:
         nonlocal hit
         run = m.group()
+        if len(run) < 2:
+            return run
         best, drop = run, SEQUENCE_DROP
         for name in READ_AS:
+            lead, more = _BYTES[name]
+            if lead.isdisjoint(run) or more.isdisjoint(run):
+                continue
             new, d = _splice(run, name)
             if d > drop:
                 best, drop = new, d
