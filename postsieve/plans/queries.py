@@ -512,7 +512,14 @@ def anonymise(spark, d):
     return mail(spark, d).select("message_id", text.anonymise(F.col("text")).alias("masked"))
 
 
-@query()
+_REST = "regexp_replace(regexp_replace(u, '(?i)^https?://', ''), '#.*$', '')"
+NORMAL_URL = (
+    f"lower(regexp_extract(u, '(?i)^(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract({_REST}, '^([^/?]*)', 1)), ':(?:80|443)$', '') || regexp_replace(regexp_extract({_REST}, '^[^/?]*([^?]*)', 1), '/$', '') || "
+    f"coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract({_REST}, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&'), ''), '')"
+)
+
+
+@query(f"SELECT message_id, unnest(list_distinct(list_transform({URLS}, lambda u: {NORMAL_URL}))) AS url FROM ({MAIL})")
 def url_normalise(spark, d):
     return mail(spark, d).select("message_id", F.explode(urls.urls(F.col("text"))).alias("url"))
 

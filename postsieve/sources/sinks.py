@@ -29,6 +29,6 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 def training_summary(docs: DataFrame, vocabulary_limit: int) -> DataFrame:
     """docs(category, tokens) -> one row: documents of each class, distinct tokens, the limit."""
-    n = docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("category") == "ham").alias("ham"), F.count_if(F.col("category") == "spam").alias("spam"))
-    t = docs.select(F.explode("tokens").alias("t")).agg(F.countDistinct("t").alias("tokens"))
-    return n.join(t).withColumn("vocabulary_limit", F.lit(vocabulary_limit))
+    each = docs.select("category", F.lit(0).alias("token")).unionByName(docs.select(F.explode("tokens").alias("t")).distinct().select(F.lit(None).cast("string").alias("category"), F.lit(1).alias("token")))
+    n = each.agg(F.count_if(F.col("token") == 0).alias("documents"), F.count_if(F.col("category") == "ham").alias("ham"), F.count_if(F.col("category") == "spam").alias("spam"), F.count_if(F.col("token") == 1).alias("tokens"))
+    return n.withColumn("vocabulary_limit", F.lit(vocabulary_limit))

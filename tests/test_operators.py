@@ -250,3 +250,58 @@ def test_models_and_corpora(spark, tmp_path):
     assert {tuple(r) for r in sinks.load_model(spark, str(tmp_path / "m")).counts.collect()} == {("spam", "win", 1), ("ham", "report", 2)}
     sinks.write_corpus(spark.createDataFrame([("s", "m", "ham")], "subject string, message string, label_text string"), str(tmp_path / "c"))
     assert (tmp_path / "c" / "label_text=ham").is_dir()
+
+
+def test_corpora_and_training_files(spark, tmp_path):
+    from postsieve.sources import mime, sinks
+
+    for label, name, text in (("ham", "1.txt", "Subject: a\n\nhello"), ("spam", "2.txt", "Subject: b\n\nwin"), ("spam", "skip.zip", "x")):
+        (tmp_path / "c" / label).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "c" / label / name).write_text(text)
+    rows = mime.read_corpus(spark, str(tmp_path / "c"), ignore=r"\.zip\z").collect()
+    assert {(r["label"], bytes(r["content"])) for r in rows} == {("ham", b"Subject: a\n\nhello"), ("spam", b"Subject: b\n\nwin")}
+    (tmp_path / "m.eml").write_text("Subject: x\n\nbody")
+    assert mime.read_eml(spark, str(tmp_path)).first()["subject"] == "x"
+    (tmp_path / "j.json").write_text('[{"id": 1, "subject": "s", "message": "m", "label": 0, "label_text": "ham"}, {"id": 2, "label": 1}]')
+    assert {(r["id"], r["label"]) for r in mime.read_training_json(spark, str(tmp_path / "j.json")).collect()} == {(1, 0), (2, 1)}
+    (tmp_path / "l.json").write_text('{"id": 3, "label": 1}\n{"id": 4, "label": 0}\n')
+    assert mime.read_training_json(spark, str(tmp_path / "l.json")).count() == 2
+    sinks.write_json(spark.createDataFrame([(1, "a")], "id int, m string"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["m"] == "a"
+    docs = spark.createDataFrame([("ham", ["a", "b"]), ("spam", ["a"]), ("spam", [])], "category string, tokens array<string>")
+    assert tuple(sinks.training_summary(docs, 10).first()) == (3, 1, 2, 2, 10)
+
+
+def test_toxic_labels(spark):
+    from postsieve.operators import toxicity
+
+    rows = [(f"you are a fool number {i}", 1, 0) for i in range(20)] + [(f"i will hurt you {i}", 0, 1) for i in range(20)] + [(f"see you at lunch {i}", 0, 0) for i in range(20)]
+    m = toxicity.train_labels(spark.createDataFrame(rows, "text string, insult int, threat int"), ("insult", "threat"))
+    texts = spark.createDataFrame([(1, "such a fool you are"), (2, "i will hurt you"), (3, "lunch at noon"), (4, None)], "id int, text string")
+    got = {(r["id"], r["label"]) for r in toxicity.score_labels(m, texts, 0.6).collect()}
+    assert (1, "insult") in got and (2, "threat") in got and not any(i in (3, 4) for i, _ in got)
+
+
+def test_images(spark):
+    from postsieve.operators import toxicity
+
+    df = spark.createDataFrame([(1, "a.png", bytes.fromhex("89504E470D0A1A0A0000")), (1, "b.txt", b"hello"), (2, "c.jpg", b"\xff\xd8\xff\xe0"), (3, None, None)], "message_id int, filename string, content binary")
+    got = toxicity.image_scores(df, lambda s: s.map(lambda b: len(b) / 10)).collect()
+    assert {(r["message_id"], r["kind"], r["flagged"]) for r in got} == {(1, "png", True), (2, "jpeg", False)}
+
+
+def test_virus_signatures(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(1, "a", b"bad"), (2, "b", b"good"), (3, "c", None)], "message_id int, filename string, content binary")
+    known = spark.createDataFrame([(hashlib.sha256(b"bad").hexdigest(), "Test.Bad")], "sha256 string, name string")
+    assert [tuple(r) for r in detect.virus_hits(df, known).collect()] == [(1, "a", "Test.Bad")]
+
+
+def test_windowed(spark):
+    import datetime as dt
+
+    from postsieve.streaming.scan import windowed
+
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 1, 5)), (2, dt.datetime(2024, 1, 1, 1, 50)), (3, dt.datetime(2024, 1, 1, 2, 0))], "message_id int, received_at timestamp")
+    assert sorted(r["n"] for r in windowed(df).collect()) == [1, 2]
