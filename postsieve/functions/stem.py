@@ -1,4 +1,4 @@
-"""English stemming after Porter (1980), applied once to each distinct token and joined back."""
+"""Stemming, applied once to each distinct token and joined back: English after Porter (1980), six languages more in snowball.py."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postsieve.functions import snowball
+
 # Suffix rules of steps 2, 3 and 4.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -75,11 +77,18 @@ def porter(word: str) -> str:
     return w
 
 
+def stem(word: str, lang: str | None = "en") -> str:
+    """The stem of a word in one of seven languages; the word itself in others."""
+    return porter(word) if lang == "en" else snowball.stem(word, lang)
+
+
 def stems(tokens: DataFrame) -> DataFrame:
-    """tokens(token) -> (token, stem), one row per distinct token: far fewer rows than tokens, to be joined back."""
+    """tokens(token[, lang]) -> (token, lang, stem), one row per distinct token of a language (English if there is no such column): far fewer rows than
+    tokens, to be joined back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"token": b["token"], "stem": [porter(t) for t in b["token"]]})
+            yield pd.DataFrame({"token": b["token"], "lang": b["lang"], "stem": [stem(t, k) for t, k in zip(b["token"], b["lang"])]})
 
-    return tokens.where(F.col("token").isNotNull()).select("token").distinct().mapInPandas(run, "token string, stem string")
+    lang = F.col("lang") if "lang" in tokens.columns else F.lit("en")
+    return tokens.where(F.col("token").isNotNull()).select("token", lang.alias("lang")).distinct().mapInPandas(run, "token string, lang string, stem string")

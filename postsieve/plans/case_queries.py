@@ -304,3 +304,10 @@ cases(
     lambda: {"stem": lambda: c("stem")}, [(1, "caress"), (2, "relat"), (3, "hop"), (4, "file"), (5, "gener"), (6, "sky"), (7, "happi"), (8, "agre"), (9, "conflat"), (10, "é")],
     table=lambda df: df.join(stem.stems(df.select(F.col("w").alias("token"))), F.col("w") == F.col("token")),
 )
+cases(
+    "stemmed_by_language", "stem", "w string, l string",
+    [("aufeinander", "de"), ("kategorischer", "de"), ("katers", "de"), ("kaufmännischen", "de"), ("bedürfnissen", "de"), ("häuser", "de"), ("freundlichkeit", "de"), ("bewegungen", "de"), ("chicharrones", "es"), ("torneado", "es"), ("trabajando", "es"), ("rápidamente", "es"), ("universidades", "es"), ("hablaríamos", "es"), ("continuellement", "fr"), ("majestueusement", "fr"), ("maintenant", "fr"), ("nationalité", "fr"), ("chevaux", "fr"), ("finissons", "fr"), ("abbandonata", "it"), ("pronunciamento", "it"), ("propagazione", "it"), ("felicemente", "it"), ("nazioni", "it"), ("bobagem", "pt"), ("quilométricas", "pt"), ("nacionalidade", "pt"), ("rapidamente", "pt"), ("questões", "pt"), ("важнейшие", "ru"), ("вагоны", "ru"), ("падают", "ru"), ("надежность", "ru"), ("бегавшая", "ru"), ("книгами", "ru"), ("words", "xx")],
+    lambda: {"stem": lambda: c("stem")},
+    [(1, "aufeinand"), (2, "kategor"), (3, "kat"), (4, "kaufmann"), (5, "bedurfnis"), (6, "haus"), (7, "freundlich"), (8, "beweg"), (9, "chicharron"), (10, "torn"), (11, "trabaj"), (12, "rapid"), (13, "univers"), (14, "habl"), (15, "continuel"), (16, "majestu"), (17, "mainten"), (18, "national"), (19, "cheval"), (20, "fin"), (21, "abbandon"), (22, "pronunc"), (23, "propag"), (24, "felic"), (25, "nazion"), (26, "bobag"), (27, "quilométr"), (28, "nacional"), (29, "rapid"), (30, "questõ"), (31, "важн"), (32, "вагон"), (33, "пада"), (34, "надежн"), (35, "бега"), (36, "книг"), (37, "words")],
+    table=lambda df: df.join(stem.stems(df.select(F.col("w").alias("token"), F.col("l").alias("lang"))), (F.col("w") == F.col("token")) & (F.col("l") == F.col("lang"))),
+)

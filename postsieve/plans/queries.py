@@ -362,6 +362,14 @@ def feature_vector(spark, d):
     return m.select("message_id", "f.tokens", F.col("f.urls").cast("int").alias("urls"), F.col("f.subject_length").cast("long").alias("subject_length"), "f.has_digits")
 
 
+@query()
+def stem_by_language(spark, d):
+    """Stems of all tokens of all mails, by the declared language of the mail."""
+    tokens = mail(spark, d).select(text.locale(F.col("lang")).alias("lang"), F.explode(text.tokens(F.coalesce("text", F.lit("")))).alias("token")).where("lang is not null")
+    counted = tokens.groupBy("token", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(stem.stems(counted), ["token", "lang"]).groupBy("lang", "stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+
+
 @query()
 def stem_en(spark, d):
     tokens = mail(spark, d).select(F.explode(text.simple_tokens(F.coalesce("text", F.lit("")))).alias("token"))

@@ -305,3 +305,18 @@ def test_windowed(spark):
 
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 1, 5)), (2, dt.datetime(2024, 1, 1, 1, 50)), (3, dt.datetime(2024, 1, 1, 2, 0))], "message_id int, received_at timestamp")
     assert sorted(r["n"] for r in windowed(df).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("lang", ["de", "es", "fr", "it", "pt", "ru"])
+def test_stemmers_take_any_word(lang):
+    """Odd words don't fail, a stem is never longer than its word by more than an ending's change, and stemming again keeps short words."""
+    import random
+
+    from postsieve.functions.snowball import stem
+
+    rng = random.Random(1)
+    letters = "abcdeghilmnoprstuvzäöüßéèñçãõà" if lang != "ru" else "абвгдеёиклмнопрстуыьэюяшщ"
+    for _ in range(3000):
+        w = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+        assert len(stem(w, lang)) <= len(w) + w.count("ß") + 1
+    assert stem("", lang) == "" and stem("a", lang) == "a" and stem("x1-2", lang)
