@@ -26,8 +26,8 @@ READ_AS = ("western", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "koi8_r
 #: (read as, written in) of single-byte encodings.
 PAIRS = (
     ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251"), ("cp1251", "iso8859_5"), ("iso8859_5", "cp1251"),
-    ("western", "cp1251"), ("western", "koi8_r"), ("western", "cp866"), ("mac_roman", "cp1251"), ("mac_roman", "koi8_r"), ("cp850", "cp1251"), ("cp437", "cp1251"),
-    ("cp850", "western"), ("cp437", "western"), ("mac_roman", "western"), ("western", "mac_roman"), ("western", "cp850"), ("cp1250", "western"), ("cp1251", "western"),
+    ("western", "mac_roman"), ("mac_roman", "western"), ("western", "cp1251"), ("western", "koi8_r"), ("western", "cp866"), ("mac_roman", "cp1251"), ("mac_roman", "koi8_r"), ("cp850", "cp1251"), ("cp437", "cp1251"),
+    ("cp850", "western"), ("cp437", "western"), ("western", "cp850"), ("cp1250", "western"), ("cp1251", "western"),
 )
 #: A field is repaired from a single-byte pair when its words get cheaper by this much in all.
 PAIR_DROP = 2.0
@@ -96,6 +96,7 @@ def cost(word: str) -> float:
             if c > "ͯ" and c not in _ALIKE and c < "԰":
                 other += 1
         else:
+            total += 2.2 if c in "†‡‰" and before else 0.0  # no sound word goes on with these
             before = ""
         total += _COST[c]
     return total + (2.0 if latin and other else 0.0)
