@@ -37,6 +37,19 @@ def normalised(results: dict[str, Column], domains: dict[str, Column] | None = N
     return F.struct(*(one(k, results.get(k, F.lit(None).cast("string"))).alias(k) for k in absent))
 
 
+def only(results: dict[str, Column], kind: str, domain: Column | None = None) -> Column:
+    """The normalised result of one method alone, dkim or spf for instance."""
+    return normalised({kind: results[kind]} if kind in results else {}, {kind: domain} if domain is not None else None)[kind]
+
+
+def of_mail(results: dict[str, Column], host: str, spf_domain: Column) -> Column:
+    """struct<results, score, tests, header> of a mail, null where no result was given at all."""
+    found = F.coalesce(*results.values())
+    s = score(*(results[k] for k in ("dkim", "spf", "dmarc", "arc")))
+    line = header(host, results["dkim"], results["spf"], spf_domain, results["dmarc"], results["arc"])
+    return F.when(found.isNotNull(), F.struct(normalised(results, {"spf": spf_domain}).alias("results"), s["score"].alias("score"), s["tests"].alias("tests"), line.alias("header")))
+
+
 def from_header(value: Column) -> dict[str, Column]:
     """Result words of an Authentication-Results header by method; null where it doesn't name the method."""
     return {k: F.nullif(F.lower(F.regexp_extract(value, rf"(?i)(?:^|[;\s]){k}=([a-z]+)", 1)), F.lit("")) for k in ("dkim", "spf", "dmarc", "arc", "bimi")}

@@ -42,6 +42,21 @@ def aligned_attributes(client_host: Column, root_client: Column, ip: Column, fro
     return _clean(F.concat(F.array(client_host, root_client, ip), group(from_), group(reply_to), group(mail_from)))
 
 
+def extract(session: Column, reply_to: Column, dkim: Column, spf: Column, only_aligned: bool = True) -> Column:
+    """struct<attributes, signing_domains, aligned_signature> of a session (as sessions.for_attributes gives it). dkim: array<struct<domain, result>> of signatures;
+    the domains of those that passed, and their root domains, count as signing. spf: map<string, string> of results by domain."""
+    passed = F.filter(F.coalesce(dkim, F.array().cast("array<struct<domain:string,result:string>>")), lambda x: (x["result"] == "pass") & (x["domain"] != ""))
+    signing = F.array_distinct(F.flatten(F.transform(passed, lambda x: F.array(F.lower(x["domain"]), urls.root_domain_attributes(x["domain"])))))
+
+    def over(s: Column) -> Column:
+        parts = (session["client_host"], session["root_client_host"], session["remote_address"], session["from_address"], reply_to, session["mail_from"])
+        attrs = aligned_attributes(*parts, s, spf) if only_aligned else attributes(*parts)
+        own = F.array(session["from_domain"], session["from_root"])
+        return F.struct(attrs.alias("attributes"), s.alias("signing_domains"), F.coalesce(F.arrays_overlap(own, s), F.lit(False)).alias("aligned_signature"))
+
+    return let(signing, over)
+
+
 def checked_values(attrs: Column, envelope_sender: Column, reply_to: Column) -> Column:
     """Attributes, then the envelope sender, the reply address and their hosts where they aren't among them."""
     pair = lambda a: F.array(F.lower(a), F.nullif(F.split_part(F.lower(a), F.lit("@"), F.lit(2)), F.lit("")))

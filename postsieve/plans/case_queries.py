@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postsieve.functions import idn, stem, text, urls
-from postsieve.operators import arf, auth, detect, rules, sessions, verdict
+from postsieve.operators import arf, auth, detect, reputation, rules, sessions, verdict
 from postsieve.plans.queries import q, query
 from postsieve.sources import mime
 
@@ -311,3 +311,37 @@ cases(
     [(1, "aufeinand"), (2, "kategor"), (3, "kat"), (4, "kaufmann"), (5, "bedurfnis"), (6, "haus"), (7, "freundlich"), (8, "beweg"), (9, "chicharron"), (10, "torn"), (11, "trabaj"), (12, "rapid"), (13, "univers"), (14, "habl"), (15, "continuel"), (16, "majestu"), (17, "mainten"), (18, "national"), (19, "cheval"), (20, "fin"), (21, "abbandon"), (22, "pronunc"), (23, "propag"), (24, "felic"), (25, "nazion"), (26, "bobag"), (27, "quilométr"), (28, "nacional"), (29, "rapid"), (30, "questõ"), (31, "важн"), (32, "вагон"), (33, "пада"), (34, "надежн"), (35, "бега"), (36, "книг"), (37, "words")],
     table=lambda df: df.join(stem.stems(df.select(F.col("w").alias("token"), F.col("l").alias("lang"))), (F.col("w") == F.col("token")) & (F.col("l") == F.col("lang"))),
 )
+
+_DKIM = "dkim array<struct<domain:string,result:string>>"
+
+
+def _extracted(only_aligned: bool) -> Column:
+    s = sessions.for_attributes(c("f"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<key:string,line:string>>"), c("host"))
+    return reputation.extract(s, c("r"), c("dkim"), c("spf"), only_aligned)
+
+
+cases(
+    "extracted_attributes", "aligned every signing signed", f"f string, r string, host string, {_DKIM}, spf map<string,string>",
+    [
+        ("A@Mail.Shop.co.uk", "help@other.example", "mx.shop.co.uk", [{"domain": "shop.co.uk", "result": "pass"}, {"domain": "bad.example", "result": "fail"}], None),
+        ("a@x.example", "SRS0=h=t=y.example=bo@fwd.example", None, None, {"y.example": "pass", "x.example": "fail"}), ("a@x.example", None, None, [], {"x.example": "pass"}), (None, None, None, None, None),
+    ],
+    lambda: {
+        "aligned": lambda: F.array_join(_extracted(True)["attributes"], ","), "every": lambda: F.array_join(_extracted(False)["attributes"], ","),
+        "signing": lambda: F.array_join(_extracted(True)["signing_domains"], ","), "signed": lambda: _extracted(True)["aligned_signature"],
+    },
+    [
+        (1, "mx.shop.co.uk,shop.co.uk,a@mail.shop.co.uk,mail.shop.co.uk", "mx.shop.co.uk,shop.co.uk,a@mail.shop.co.uk,mail.shop.co.uk,help@other.example,other.example", "shop.co.uk", True),
+        (2, "bo@y.example,y.example", "a@x.example,x.example,bo@y.example,y.example", "", False), (3, "a@x.example,x.example", "a@x.example,x.example", "", False), (4, "", "", "", False),
+    ],
+)
+cases(
+    "auth_of_mail", "score header spf_result spf_comment dkim_alone", "dkim string, spf string, dmarc string, arc string, d string",
+    [("pass", "softfail", "fail", None, "x.example"), (None, None, None, None, None), (" PASS ", "", "none", "pass", None)],
+    lambda: {
+        "score": lambda: auth.of_mail({k: c(k) for k in ("dkim", "spf", "dmarc", "arc")}, "mx", c("d"))["score"], "header": lambda: F.replace(auth.of_mail({k: c(k) for k in ("dkim", "spf", "dmarc", "arc")}, "mx", c("d"))["header"], F.lit(";\n\t"), F.lit("; ")),
+        "spf_result": lambda: auth.only({"spf": c("spf")}, "spf", c("d"))["result"], "spf_comment": lambda: auth.only({"spf": c("spf")}, "spf")["comment"], "dkim_alone": lambda: auth.only({"dkim": c("dkim")}, "dkim")["result"],
+    },
+    [(1, 3, "mx; dkim=pass; spf=softfail smtp.mailfrom=x.example; dmarc=fail", "softfail", None, "pass"), (2, None, None, "none", "SPF check not performed", "none"), (3, -3, "mx; dkim= PASS ; spf=; dmarc=none; arc=pass", "none", "SPF check not performed", "pass")],
+    {"score": "INTEGER"},
+)
